@@ -6,6 +6,7 @@ that is unset (tests, notebooks) is a local one made.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,13 +27,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Run ``df`` once, keep it as a table in the shared folder, and read that.
 
     Later steps start from the table: a lost executor costs no recomputation of
-    what lies before it, and no plan grows from round to round.
+    what lies before it, and no plan grows from round to round. ``release`` asks
+    the driver to collect garbage, which lets Spark delete shuffle files that the
+    finished step no longer needs.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
