@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus_queries, oracle, store_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Name -> (spark, sf_dir) -> DataFrame."""
+    return corpus_queries.QUERIES | store_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Name -> DuckDB SQL."""
+    return oracle.all_sql()
