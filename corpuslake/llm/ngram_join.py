@@ -51,9 +51,9 @@ LINK_NUM, LINK_DEN = 3, 4
 #: A shingle of more different sets than this makes no pairs.
 COMMON = 16
 #: Shingles that a map task holds before it sends them.
-HELD = 3_000_000
+HELD = 1_200_000
 #: Pairs that a fragment's task makes at once.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 #: Up to so many ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 200_000
 #: Leader rounds go on while pairs across components number more than this times the postings.
@@ -165,7 +165,7 @@ def _pairs(node: np.ndarray, first: np.ndarray, counts: np.ndarray, sizes: np.nd
             x, y = own[:, i].ravel(), own[:, j].ravel()
             a, b = np.minimum(x, y), np.maximum(x, y)
             fit = LINK_DEN * np.minimum(sizes[a], sizes[b]) >= LINK_NUM * np.maximum(sizes[a], sizes[b])
-            yield a[fit] * total + b[fit]
+            yield a[fit].astype(np.int64) * total + b[fit]
 
 
 def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +201,14 @@ def _count_fragment(rows: pa.Table, common: int) -> Iterator[pa.Table]:
     chosen = np.zeros(len(entry), bool)
     chosen[first] = True
     sizes = np.ascontiguousarray(key[first][:, -4:]).view(">u4").ravel().astype(np.int64)
-    keep = np.repeat(chosen, counts)
-    node = np.repeat(entry, counts)[keep]
-    tokens = tokens[keep]
+    node = np.repeat(entry.astype(np.int32), counts)
+    if not chosen.all():
+        keep = np.repeat(chosen, counts)
+        node, tokens = node[keep], tokens[keep]
     here = (counts + dropped)[first]
     order = np.argsort(tokens, kind="stable")
     tokens, node = tokens[order], node[order]
+    del order
     start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(tokens)))
     is_hot = size > common
@@ -325,7 +327,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, i
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     sent = _scatter(docs, fragments, width, common)
     mixed = cut(sent.groupBy("part").applyInArrow(lambda t: _count_fragment_table(t, common), _MIXED), "counted")
     rows = mixed.where("kind = 2").select(F.col("v").alias("doc_id"), F.col("a").alias("node"))

@@ -90,7 +90,7 @@ def runs(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray
     return got, out
 
 
-def blocks(items: Iterable, size, most: int = 4_000_000) -> Iterator[list]:
+def blocks(items: Iterable, size, most: int = 1_500_000) -> Iterator[list]:
     """Lists of items of about ``most`` bytes each; an item is never split."""
     held, total = [], 0
     for item in items:
