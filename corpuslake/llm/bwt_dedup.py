@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .textarrays import _BYTE, _powers, blocks, mix
+from .textarrays import _BYTE, _powers, blocks, mix, rows_of
 
 LENGTH, ANCHOR = 50, 26
 #: Segments, or bytes of segments, that a map task holds before it sends them.
-HELD_SEGMENTS, HELD_BYTES = 1_500_000, 8_000_000
+HELD_SEGMENTS, HELD_BYTES = 500_000, 3_000_000
 #: Bytes of text that are cut into segments at once.
-AT_ONCE = 1_500_000
+AT_ONCE = 700_000
 _U = np.uint64
 _LAST = 2**63 - 1
 
@@ -94,10 +94,6 @@ def _batch(names: list[str], types: list, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(c.to_pylist() for c in batch.columns))
-
-
 # ---------------------------------------------------------------- segments by number
 
 _SENT = "part int, docs binary, versions binary, counts binary, anchors binary, names binary"
@@ -132,7 +128,7 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            for block in blocks(_rows(batch), lambda r: len(r[2]), AT_ONCE):
+            for block in blocks(rows_of(batch), lambda r: len(r[2]), AT_ONCE):
                 s = Segments([r[2].encode() for r in block])
                 ids = np.array([_LAST if r[0] is None else r[0] for r in block], np.int64)
                 count = np.bincount(s.text, minlength=len(block))
@@ -193,18 +189,24 @@ def _rotations(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start, lengths), np.repeat(lengths, lengths)
 
 
-def shard_order(data: np.ndarray, lengths: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(order, transform): rotations of the strings in order of their first ``depth`` bytes,
-    and the two bytes before each of them. ``depth`` is even, strings have two bytes or more."""
+def pairs_before(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of strings taken as rings: the place two before it, and the two bytes there."""
     start, length = _rotations(lengths)
     place = np.arange(len(data))
     before = (start + (place - start - 2) % length).astype(np.int32)
     after = start + (place - start - 1) % length
-    pair = (data[before].astype(np.uint16) << np.uint16(8)) | data[after]
+    return before, (data[before].astype(np.uint16) << np.uint16(8)) | data[after]
+
+
+def shard_order(data: np.ndarray, lengths: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Rotations of the strings in order of their first ``depth`` bytes (even; strings have two bytes or more).
+
+    With it, the shard's Burrows-Wheeler transform is ``pairs_before(...)[1][order]``."""
+    before, pair = pairs_before(data, lengths)
     order = np.arange(len(data), dtype=np.int32)
     for _ in range(depth // 2):
         order = before[order][np.argsort(pair[order], kind="stable")]
-    return order, pair[order]
+    return order
 
 
 def merge_shards(transforms: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +232,7 @@ def merge_shards(transforms: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
     return shard, block
 
 
-_SHARDS = "part int, docs binary, versions binary, firsts binary, lengths binary, transform binary, order binary"
+_SHARDS = "part int, docs binary, versions binary, firsts binary, lengths binary, strings binary, order binary"
 
 
 def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
@@ -247,15 +249,16 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
             by.setdefault(part, []).append(rest)
         for part, own in by.items():
             doc, version, first, length = (np.concatenate([o[i] for o in own]) for i in range(4))
-            order, transform = shard_order(np.concatenate([o[4] for o in own]), length)
-            for c, v in zip(columns, (part, doc.tobytes(), version.tobytes(), first.astype("<i8").tobytes(), length.astype("<u4").tobytes(), transform.tobytes(), order.astype("<u4").tobytes())):
+            strings = np.concatenate([o[4] for o in own])
+            order = shard_order(strings, length).astype("<u2" if len(strings) <= 65536 else "<u4")
+            for c, v in zip(columns, (part, doc.tobytes(), version.tobytes(), first.astype("<i8").tobytes(), length.astype("<u4").tobytes(), strings.tobytes(), order.tobytes())):
                 c.append(v)
         return _batch(names, types, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for batch in batches:
-            for block in blocks(_rows(batch), lambda r: len(r[2]), AT_ONCE):
+            for block in blocks(rows_of(batch), lambda r: len(r[2]), AT_ONCE):
                 s = Segments([r[2].encode() for r in block])
                 status, part = _statuses(s, [r[3] for r in block], ranges), _range_of(s.anchor, ranges)
                 pick = np.flatnonzero(status == 2)
@@ -304,14 +307,15 @@ def _merge_range(rows: pa.Table) -> pa.Table:
     """Starts of windows that repeat one of a smaller document, by document."""
     schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary())])
     read = lambda name, ty: [np.frombuffer(x, ty) for x in rows.column(name).to_pylist()]
-    transforms, orders = read("transform", np.uint16), read("order", "<u4")
-    lengths = read("lengths", "<u4")
+    strings, lengths = read("strings", np.uint8), read("lengths", "<u4")
+    orders = [np.frombuffer(x, "<u2" if len(t) <= 65536 else "<u4") for x, t in zip(rows.column("order").to_pylist(), strings)]
+    transforms = [pairs_before(t, n.astype(np.int64))[1][o] for t, n, o in zip(strings, lengths, orders)]
     doc, version, first = (np.concatenate(read(n, "<i8")) for n in ("docs", "versions", "firsts"))
     shard, block = merge_shards(transforms)
     size = np.array([len(o) for o in orders])
     base = np.cumsum(size) - size
     place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.concatenate([o + b for o, b in zip(orders, base)])
+    place[np.argsort(shard, kind="stable")] = np.concatenate([o.astype(np.int64) + b for o, b in zip(orders, base)])
     length = np.concatenate(lengths).astype(np.int64)
     string = np.repeat(np.arange(len(length)), length)
     offset = np.arange(len(string)) - np.repeat(np.cumsum(length) - length, length)
@@ -350,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     made = ("kept", "n_bytes", "n_removed", "n_spans")
     docs = docs.drop(*made)
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     status = cut(_send_names(slim, ranges).groupBy("part").applyInArrow(_judge_names, _STATUS), "status", release=True)
@@ -375,7 +379,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             plain = batch.select([c for c in batch.schema.names if c != "_known"])
             kept, size, gone, spans = [], [], [], []
-            for block in blocks(zip(batch.column(at).to_pylist(), batch.column("_known").to_pylist()), lambda r: len(r[0] or ""), AT_ONCE):
+            two = batch.select([batch.schema.names[at], "_known"])
+            for block in blocks(rows_of(two), lambda r: len(r[0] or ""), AT_ONCE):
                 texts = [(t or "").encode() for t, _ in block]
                 some = [i for i, (_, k) in enumerate(block) if k is not None]
                 hide: dict[int, np.ndarray] = {}

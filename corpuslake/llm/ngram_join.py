@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import cut
-from .textarrays import blocks, runs, words
+from .textarrays import blocks, rows_of, runs, words
 
 WIDTH = 5
 #: A link: LINK_NUM / LINK_DEN or more of the union is shared.
@@ -133,8 +133,7 @@ def _scatter(docs: DataFrame, fragments: int, width: int, common: int) -> DataFr
         seen: list[tuple] = []
         total, turn = 0, TaskContext.get().partitionId()
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for block in blocks(rows, lambda r: len(r[1] or "")):
+            for block in blocks(rows_of(batch), lambda r: len(r[1] or "")):
                 for (doc, _), tokens in zip(block, shingle_sets([t for _, t in block], width)):
                     if not len(tokens):
                         seen.append((doc, None))
@@ -250,7 +249,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1).to_pylist(), lambda t: len(t or "")):
+            for block in blocks((r[1] for r in rows_of(batch)), lambda t: len(t or "")):
                 sets = [s for s in shingle_sets(block, width) if len(s)]
                 arrays = [[node_key(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)

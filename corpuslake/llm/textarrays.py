@@ -90,6 +90,12 @@ def runs(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray
     return got, out
 
 
+def rows_of(batch, step: int = 256) -> Iterator[tuple]:
+    """Rows of an Arrow batch as tuples, made a few at a time."""
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns))
+
+
 def blocks(items: Iterable, size, most: int = 1_500_000) -> Iterator[list]:
     """Lists of items of about ``most`` bytes each; an item is never split."""
     held, total = [], 0
