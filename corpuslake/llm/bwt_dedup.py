@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .textarrays import _BYTE, _powers, blocks, mix, rows_of
+from .textarrays import _BYTE, _powers, blocks, mix, release, rows_of
 
 LENGTH, ANCHOR = 50, 26
 #: Segments, or bytes of segments, that a map task holds before it sends them.
@@ -137,8 +137,11 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
                 if total >= HELD_SEGMENTS:
                     yield pack(held)
                     held, total = [], 0
+                    release()
         if total:
             yield pack(held)
+        held = []
+        release()
 
     return docs.mapInArrow(run, _SENT)
 
@@ -149,6 +152,7 @@ _STATUS = "doc_id long, version long, part int, status binary"
 def _judge_names(rows: pa.Table) -> pa.Table:
     """Per document and range, a byte for each of its segments there, in order:
     1 if a smaller document has the segment, 2 if its anchor must be compared, else 0."""
+    release()
     schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("part", pa.int32()), ("status", pa.binary())])
     join = lambda name, ty: np.frombuffer(b"".join(rows.column(name).to_pylist()), ty)
     doc, version, count = join("docs", "<i8"), join("versions", "<i8"), join("counts", "<u4").astype(np.int64)
@@ -280,8 +284,11 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
                 if total >= HELD_BYTES:
                     yield pack(held)
                     held, total = [], 0
+                    release()
         if held:
             yield pack(held)
+        held = []
+        release()
 
     return met.mapInArrow(run, _SHARDS)
 
@@ -305,6 +312,7 @@ _REPEATS = "doc_id long, version long, starts binary"
 
 def _merge_range(rows: pa.Table) -> pa.Table:
     """Starts of windows that repeat one of a smaller document, by document."""
+    release()
     schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary())])
     read = lambda name, ty: [np.frombuffer(x, ty) for x in rows.column(name).to_pylist()]
     strings, lengths = read("strings", np.uint8), read("lengths", "<u4")
@@ -408,6 +416,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = [k.decode("utf-8", "ignore") for k in kept]
             more = [pa.array(kept, pa.string() if as_text else pa.binary()), *[pa.array(x, pa.int64()) for x in (size, gone, spans)]]
             yield pa.RecordBatch.from_arrays([*plain.columns, *more], names=[*plain.schema.names, *made])
+        release()
 
     return joined.mapInArrow(run, schema)
 

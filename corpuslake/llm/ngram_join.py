@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import cut
-from .textarrays import blocks, rows_of, runs, words
+from .textarrays import blocks, release, rows_of, runs, words
 
 WIDTH = 5
 #: A link: LINK_NUM / LINK_DEN or more of the union is shared.
@@ -146,8 +146,11 @@ def _scatter(docs: DataFrame, fragments: int, width: int, common: int) -> DataFr
                 if total >= HELD or len(seen) >= 200_000:
                     yield _send(list(held.items()), seen, fragments, common, turn)
                     held, seen, total, turn = {}, [], 0, turn + 1
+                    release()
         if seen:
             yield _send(list(held.items()), seen, fragments, common, turn)
+        held = {}
+        release()
 
     return docs.mapInArrow(run, _SENT)
 
@@ -362,6 +365,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, i
 
 
 def _count_fragment_table(rows: pa.Table, common: int) -> pa.Table:
+    release()
     found = list(_count_fragment(rows, common))
     if found:
         return pa.concat_tables(found)

@@ -7,10 +7,13 @@ so no Python loop runs over words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
+_LIBC = ctypes.CDLL(None)
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_RADIX, -1, 1 << 64)
@@ -90,6 +93,16 @@ def runs(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray
     return got, out
 
 
+def release() -> None:
+    """Give memory that a step of a worker no longer uses back to the system.
+
+    Workers live on between tasks, and what their allocators keep counts for the
+    executor's container as if it were in use."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def rows_of(batch, step: int = 256) -> Iterator[tuple]:
     """Rows of an Arrow batch as tuples, made a few at a time."""
     for at in range(0, batch.num_rows, step):
