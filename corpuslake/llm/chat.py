@@ -55,11 +55,10 @@ def fold_events(events: DataFrame) -> DataFrame:
             last("turn").alias("turn"),
         )
     )
-    kept = F.filter("log", lambda e: F.col("base").isNull() | (e >= F.col("base")))
-    return folded.select(
-        "conv_id", "message", "turn", F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"),
-    )
+    later = F.filter("log", lambda e: F.col("base").isNull() | (e > F.col("base")))
+    streamed = F.array_join(F.transform(later, lambda e: e["text"]), "")
+    text = F.concat(F.coalesce("base.text", F.lit("")), streamed)
+    return folded.select("conv_id", "message", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
