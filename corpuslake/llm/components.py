@@ -1,9 +1,10 @@
 """Distributed connected components by alternating star contraction.
 
-Each round first links every node's larger neighbours to its smallest one, then
-every node's smaller neighbours likewise, until nothing changes. Rounds are few
-(logarithmic in practice), each is two aggregations and two joins of edges, and
-a hub is only ever reduced by ``min`` or met in a join that can be split.
+A step links every node's larger neighbours to its smallest one, the next every
+node's smaller neighbours likewise, until a round of four steps changes nothing.
+Rounds are few (logarithmic in practice), a step is an aggregation and a join of
+edges, and a hub is only ever reduced by ``min`` or met in a join that can be
+split.
 """
 
 from __future__ import annotations
@@ -57,7 +58,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not before[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for _ in range(most_rounds):
-        edges = cut(_star(_star(edges, True), False), "edges")
+        for large in (True, False, True, False):
+            edges = _star(edges, large)
+        edges = cut(edges, "edges")
         now = mark(edges)
         if now == before:
             break

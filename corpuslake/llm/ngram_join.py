@@ -279,13 +279,24 @@ def _components(edges: DataFrame) -> DataFrame:
     return connected_components(named).select(F.unhex("node").alias("node"), F.unhex("label").alias("label"))
 
 
+def _prefix_postings(sets: DataFrame) -> DataFrame:
+    """(node, n, token): the prefix of every set, rarest shingles (among ``sets``) first.
+
+    Two sets that link share a shingle of their prefixes, whatever the order; with
+    the rarest first, sets that only share what is common meet seldom. Shingles of
+    one set alone are left out: they meet nothing."""
+    every = sets.select("node", "n", F.explode("tokens").alias("token")).withColumn("k", F.reverse(F.col("token").cast("string")))
+    often = every.groupBy("token").agg(F.count("*").alias("often")).select(F.reverse(F.col("token").cast("string")).alias("k"), "often")
+    ordered = every.join(often, "k").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("all"))
+    size = (F.col("n") - F.ceil(F.col("n") * F.lit(LINK_NUM) / F.lit(LINK_DEN)) + 1).cast("int")
+    return ordered.select("node", "n", F.explode(F.slice("all", F.lit(1), size)).alias("p")).where("p.often > 1").select("node", "n", "p.token")
+
+
 def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges``, and links enough that every two linked nodes of ``sets`` are connected."""
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(LINK_NUM) / F.lit(LINK_DEN)) + 1
-    ordered = F.sort_array("tokens")
-    postings = cut(sets.select("node", "n", F.explode(F.slice(ordered, F.lit(1), prefix.cast("int"))).alias("token")), "postings")
-    total = postings.count()
-    for turn in range(8):
+    postings = cut(_prefix_postings(sets), "postings")
+    total, before = postings.count(), None
+    while True:
         labels = cut(_components(edges), "labels")
         labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         groups = labelled.groupBy("token", "label").count()
@@ -297,12 +308,14 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
             "groups",
         )
         across = open_groups.agg(F.sum("across")).first()[0] or 0
-        if across <= 2 * PAIRS_PER_POSTING * total or turn == 7:
+        # Leaders have done their work when few pairs are left, or when a round changes little.
+        if across <= 2 * PAIRS_PER_POSTING * total or before is not None and across > 0.7 * before:
             break
+        before = across
         live = labelled.withColumn("k", F.reverse(F.col("token").cast("string"))).join(
             open_groups.select(F.reverse(F.col("token").cast("string")).alias("k"), "top"), "k"
         )
-        draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+        draw = F.struct(F.xxhash64("node", F.lit(across)).alias("draw"), F.col("node").alias("leader"), F.col("label").alias("leader_label"))
         # Two leaders a shingle: one of its largest component, one of the rest.
         leaders = live.groupBy("token", (F.col("label") == F.col("top")).alias("side")).agg(F.min(draw).alias("l")).select(
             F.reverse(F.col("token").cast("string")).alias("k"), "l.leader", "l.leader_label"
@@ -310,8 +323,7 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
         pairs = live.select("k", "node", "label").join(leaders, "k").where("label != leader_label").select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
         ).distinct()
-        new = _linked(pairs, sets)
-        edges = cut(edges.unionByName(new).distinct(), "edges")
+        edges = cut(edges.unionByName(_linked(pairs, sets)).distinct(), "edges")
     if not across:
         return edges
     keyed = lambda df: df.withColumn("k", F.reverse(F.col("token").cast("string")))
