@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, enrich, manifest, monitors, parsing
+from ..operators import retrieval as R
 from . import fixtures as X
 
 S = SparkSession
@@ -73,7 +74,7 @@ def md_sections(spark: S, sf: str) -> DataFrame:
 
 
 def parse_markdown(spark: S, sf: str) -> DataFrame:
-    return _sections(parsing.parse_markdown(X.files(spark, sf).where("doc_id % 8 in (0, 1, 2, 3, 6)")))
+    return _sections(parsing.parse_markdown(X.files(spark, sf).where(T.extension(F.col("path")) == ".md")))
 
 
 def parse_text(spark: S, sf: str) -> DataFrame:
@@ -140,14 +141,14 @@ def retire_tombstones(spark: S, sf: str) -> DataFrame:
 def _numbered(spark: S, sf: str) -> DataFrame:
     """Chunks of whole documents, with the order of their files and the store's knowledge of them."""
     made = chunking.chunk(X.plain_sections(spark, sf))
-    store = X.entries(spark, sf).where("id % 3 = 0").select("content_hash")
+    store = R.live(X.entries(spark, sf)).select("content_hash")
     hashed = made.withColumns({"content_hash": F.md5("content"), "file_seq": F.col("source_file")})
     return enrich.seen_earlier(enrich.mark_existing(hashed, store))
 
 
 def exists_map(spark: S, sf: str) -> DataFrame:
     made = chunking.chunk(X.plain_sections(spark, sf)).withColumn("content_hash", F.md5("content"))
-    store = X.entries(spark, sf).where("id % 3 = 0").select("content_hash")
+    store = R.live(X.entries(spark, sf)).select("content_hash")
     return enrich.mark_existing(made, store).select("source_file", "chunk_index", "content_hash", "exists")
 
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import chunking, parsing
 
 AS_OF = datetime(2024, 2, 1)
@@ -48,7 +49,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where("doc_id % 8 in (4, 5)").select("doc_id", "path", "content")
+    return files(spark, sf_dir).where(T.extension(F.col("path")) == ".txt").select("doc_id", "path", "content")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk store, one row per document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("seen"))
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     j = d.join(seen, F.col("doc_id") % 200 == F.col("user_id"), "left").join(vectors, F.col("doc_id") % 500 == F.col("vec_id"), "left")
     i = F.col("doc_id")
     file = F.when(i % 43 != 0, F.concat(F.lit("/corpus/"), "source", F.lit(".md")))

@@ -11,7 +11,7 @@ VIEWS = {
         CASE WHEN doc_id % 8 < 4 THEN '.md' WHEN doc_id % 8 < 6 THEN '.txt' WHEN doc_id % 8 = 6 THEN '.MD' ELSE '.rb' END AS path,
         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS mtime, text AS content FROM documents""",
     "v_scan": """
-      SELECT * FROM v_files WHERE doc_id % 29 <> 0 AND doc_id % 8 <> 7""",
+      SELECT * FROM v_files WHERE NOT regexp_matches(path, '(^|/)\\.') AND regexp_matches(lower(path), '\\.(md|txt|docx|pdf)$')""",
     "v_prev": """
       SELECT path, CASE WHEN doc_id % 10 = 1 THEN '0' ELSE sha256(content) END AS sha256 FROM v_files WHERE doc_id % 10 <> 0
       UNION ALL SELECT '/corpus/gone/' || doc_id || '.md', '1' FROM v_files WHERE doc_id % 50 = 2""",
@@ -26,10 +26,10 @@ VIEWS = {
           CASE WHEN (doc_id + n - 1) % 5 = 0 THEN repeat('#', (1 + (doc_id + n - 1) % 4)::INT) || ' ' || line ELSE line END), chr(10) || chr(10)) AS content
       FROM documents""",
     "v_raw_md": """
-      SELECT doc_id, path, CASE WHEN doc_id % 29 = 0 THEN '.' ELSE '' END || doc_id AS stem, content FROM v_files WHERE doc_id % 8 IN (0, 1, 2, 3, 6)""",
+      SELECT doc_id, path, CASE WHEN doc_id % 29 = 0 THEN '.' ELSE '' END || doc_id AS stem, content FROM v_files WHERE lower(path) LIKE '%.md'""",
     "v_txt": """
       SELECT path AS source_file, 0 AS section_ord, CASE WHEN doc_id % 29 = 0 THEN '.' ELSE '' END || doc_id AS heading, []::VARCHAR[] AS section_path,
-        trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM v_files WHERE doc_id % 8 IN (4, 5)""",
+        trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM v_files WHERE lower(path) LIKE '%.txt'""",
     "v_plain": """
       SELECT path AS source_file, doc_id, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content
       FROM documents JOIN (SELECT doc_id AS d, path FROM v_files) ON d = doc_id""",
@@ -47,7 +47,7 @@ VIEWS = {
         CASE WHEN d.doc_id % 11 = 0 THEN 0 ELSE d.doc_id // 20 END::INT AS chunk_index,
         TIMESTAMP '2024-01-01 00:00:00' + to_hours(d.doc_id) AS created_at
       FROM documents d LEFT JOIN (SELECT user_id, count(*) AS seen FROM events GROUP BY 1) v ON v.user_id = d.doc_id % 200
-      LEFT JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 500) e ON e.vec_id = d.doc_id % 500""",
+      LEFT JOIN (SELECT vec_id, embedding FROM embeddings) e ON e.vec_id = d.doc_id % 500""",
     "v_live": "SELECT * FROM v_entries WHERE tagged AND status <> 'archived'",
     "v_near": """
       SELECT e.*, list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
@@ -143,7 +143,7 @@ _SECTIONS = "all_sections AS (SELECT * FROM md UNION ALL SELECT * FROM v_txt)"
 #: name -> (further CTEs, select)
 _SQL: dict[str, tuple[str, str]] = {
     "scan_files": ("", "SELECT path FROM v_scan"),
-    "scan_hidden": ("", "SELECT path, doc_id % 29 = 0 AS hidden FROM v_files"),
+    "scan_hidden": ("", "SELECT path, regexp_matches(path, '(^|/)\\.') AS hidden FROM v_files"),
     "file_fingerprint": ("", "SELECT path, strlen(content)::BIGINT AS size, strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime, sha256(content) AS sha256 FROM v_scan"),
     "scan_summary": ("", "SELECT count(*) AS file_count, coalesce(sum(strlen(content)), 0)::BIGINT AS total_bytes FROM v_scan"),
     "manifest_key": ("", "SELECT DISTINCT '/corpus/' || source AS path, substr(sha256('/corpus/' || source), 1, 16) AS key FROM documents"),
@@ -157,7 +157,7 @@ _SQL: dict[str, tuple[str, str]] = {
     "parse_dispatch": (_lines("md", "v_raw_md"), """
       SELECT source_file, NULL::VARCHAR AS error, md5(content) AS content_md5, heading FROM md
       UNION ALL SELECT source_file, NULL, md5(content), heading FROM v_txt
-      UNION ALL SELECT path, 'unsupported format', NULL, NULL FROM v_files WHERE doc_id % 8 = 7"""),
+      UNION ALL SELECT path, 'unsupported format', NULL, NULL FROM v_files WHERE path LIKE '%.rb'"""),
     "paragraphs": ("", r"""
       SELECT path, count(*) AS n, max(length(p))::INT AS longest, sum(length(p))::BIGINT AS chars
       FROM (SELECT path, unnest(regexp_split_to_array(content, '\n\n+')) AS p FROM v_md) WHERE p <> '' GROUP BY path"""),
@@ -176,7 +176,7 @@ _SQL: dict[str, tuple[str, str]] = {
       SELECT 'Retired document: ' || path AS content, 'observation' AS content_type, path || '|retired|document_chunk' AS tags, path AS source_file, true AS retired
       FROM v_diff WHERE change = 'removed'"""),
     "exists_map": ("", """
-      SELECT source_file, chunk_index, md5(content) AS content_hash, md5(content) IN (SELECT content_hash FROM v_entries WHERE id % 3 = 0) AS exists FROM v_plain_chunks"""),
+      SELECT source_file, chunk_index, md5(content) AS content_hash, md5(content) IN (SELECT content_hash FROM v_live) AS exists FROM v_plain_chunks"""),
     "embed_attach": ("", """
       WITH last AS (SELECT content_hash, arg_max(embedding, id) AS embedding FROM v_entries WHERE embedding IS NOT NULL GROUP BY 1)
       SELECT source_file, chunk_index, round(embedding[1]::DOUBLE, 6) AS first_component FROM v_plain_chunks LEFT JOIN last ON content_hash = md5(content)"""),
@@ -188,9 +188,9 @@ _SQL: dict[str, tuple[str, str]] = {
         (SELECT unnest([true, false]) AS force), (SELECT unnest(['ok', 'failed', 'no_success_key', 'null', 'exception']) AS answer)"""),
     "ingest_summary": ("", """
       WITH c AS (SELECT source_file, md5(content) AS h FROM v_plain_chunks), f AS (
-        SELECT h IN (SELECT content_hash FROM v_entries WHERE id % 3 = 0) OR min(source_file) OVER (PARTITION BY h) < source_file AS known FROM c)
+        SELECT h IN (SELECT content_hash FROM v_live) OR min(source_file) OVER (PARTITION BY h) < source_file AS known FROM c)
       SELECT (count(*) FILTER (NOT known))::BIGINT AS chunks_created, (count(*) FILTER (known))::BIGINT AS chunks_skipped, 0::BIGINT AS chunks_updated FROM f"""),
-    "corpus_stats": (f"v_scan_md AS (SELECT * FROM v_raw_md WHERE doc_id % 29 <> 0), {_lines('md', 'v_scan_md')}, scanned AS (SELECT * FROM md UNION ALL SELECT * FROM v_txt WHERE heading NOT LIKE '.%'), {_packed('ch', 'scanned', 2048)}", """
+    "corpus_stats": (f"v_scan_md AS (SELECT * FROM v_raw_md WHERE stem NOT LIKE '.%'), {_lines('md', 'v_scan_md')}, scanned AS (SELECT * FROM md UNION ALL SELECT * FROM v_txt WHERE heading NOT LIKE '.%'), {_packed('ch', 'scanned', 2048)}", """
       SELECT (SELECT count(*) FROM v_scan) AS file_count, (SELECT count(*) FROM ch) AS estimated_chunks, (SELECT sum(strlen(content))::BIGINT FROM v_scan) AS total_bytes"""),
     "monitor_resolve": ("", """
       WITH m AS (SELECT DISTINCT '/corpus/' || source AS path, '.md,.txt' AS extensions, source AS label FROM documents)
@@ -201,7 +201,7 @@ _SQL: dict[str, tuple[str, str]] = {
         coalesce(sum(n % 5) FILTER (ok), 0)::BIGINT AS files_changed, coalesce(sum(n % 3) FILTER (ok), 0)::BIGINT AS files_removed,
         coalesce(sum(n * 2) FILTER (ok), 0)::BIGINT AS chunks_created, coalesce(sum(n % 11) FILTER (ok), 0)::BIGINT AS chunks_skipped, 0::BIGINT AS chunks_updated FROM r"""),
     "monitor_status": ("", """
-      SELECT (SELECT count(DISTINCT source) FROM documents)::BIGINT AS total_monitors, (SELECT count(*) FROM v_files WHERE doc_id % 29 <> 0 AND doc_id % 8 < 7)::BIGINT AS total_files"""),
+      SELECT (SELECT count(DISTINCT source) FROM documents)::BIGINT AS total_monitors, (SELECT count(*) FROM v_scan)::BIGINT AS total_files"""),
     "live_chunks": ("", "SELECT id, status, confidence FROM v_live"),
     "live_count": ("", "SELECT count(*) AS live_chunks FROM v_live"),
     "count_by_status": ("", "SELECT status, count(*) AS n FROM v_live GROUP BY status"),
