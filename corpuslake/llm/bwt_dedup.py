@@ -426,3 +426,26 @@ def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d)
+), f AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s),
+hit AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN f USING (s) WHERE doc_id > owner
+), run AS (
+  SELECT doc_id, i, sum((p IS NULL OR i > p + 50)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit
+), span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY ALL),
+gap AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM span),
+cut AS (
+  SELECT d.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(max(h), 2 * max(b) + 1) AS kept
+  FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY d.doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""

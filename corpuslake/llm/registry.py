@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .bwt_dedup import op8_bwt_dedup
+from .bwt_dedup import OP8_SQL, op8_bwt_dedup
 from .chat import OP3_SQL, op3_chat
 from .decontam import op10_decontam
 from .html_crf import op2_html_crf
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_chat": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_urls": OP7_SQL, "op9_topk": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat": OP3_SQL, "op4_ngram_join": OP4_SQL, "op7_urls": OP7_SQL, "op8_bwt_dedup": OP8_SQL, "op9_topk": OP9_SQL}
