@@ -362,7 +362,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     made = ("kept", "n_bytes", "n_removed", "n_spans")
     docs = docs.drop(*made)
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     status = cut(_send_names(slim, ranges).groupBy("part").applyInArrow(_judge_names, _STATUS), "status", release=True)

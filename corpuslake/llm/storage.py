@@ -13,6 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a step hands to Python at once.
+BATCH_ROWS = 512
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, from the session's own setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,7 +42,13 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_BATCH)
+    # Rows are whole documents: batches of the default length would hold tens of MB in and beside the JVM.
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     if release:
         gc.collect()
         spark._jvm.System.gc()
