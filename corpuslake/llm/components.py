@@ -4,11 +4,15 @@ A step links every node's larger neighbours to its smallest one, the next every
 node's smaller neighbours likewise, until a round of four steps changes nothing.
 Rounds are few (logarithmic in practice), a step is an aggregation and a join of
 edges, and a hub is only ever reduced by ``min`` or met in a join that can be
-split.
+split. Before, every task replaces its own edges by a spanning forest; and where
+at most ``few`` edges are left, which is counted first, one task finishes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +45,51 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task may finish (some 100 bytes each there).
+FEW = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one task as (node, least node that its own edges reach)."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        top = x
+        while (up := parent.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = [n for n in parent if root(n) != n]
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(n) for n in part], pa.string())], names=["a", "b"])
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b, both strings): label is the
     smallest node that links reach. Nulls and loops are ignored; no edges, no rows.
 
     Stops when a round changes nothing; raises if that does not come in
     ``most_rounds`` (each round at least halves the longest path's share).
     """
-    edges = cut(edges.select("a", "b").where("a is not null and b is not null and a != b").distinct(), "edges")
+    edges = edges.select("a", "b").where("a is not null and b is not null and a != b")
+    edges = cut(edges.mapInArrow(_forest, "a string, b string"), "edges")
 
     def mark(df: DataFrame) -> tuple:
         got = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(got)
 
     before = mark(edges)
-    if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     for _ in range(most_rounds):
+        if before[0] <= few:
+            edges = cut(edges.coalesce(1).mapInArrow(_forest, "a string, b string"), "edges")
+            break
         for large in (True, False, True, False):
             edges = _star(edges, large)
         edges = cut(edges, "edges")

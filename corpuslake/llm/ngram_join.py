@@ -279,17 +279,26 @@ def _components(edges: DataFrame) -> DataFrame:
     return connected_components(named).select(F.unhex("node").alias("node"), F.unhex("label").alias("label"))
 
 
+def _can_link(na, nb, sa, sb):
+    """Whether sets of these sizes can link if at most ``sa`` and ``sb`` of their shingles are in any other set."""
+    return links(F.least(sa, sb), na, nb)
+
+
 def _prefix_postings(sets: DataFrame) -> DataFrame:
-    """(node, n, token): the prefix of every set, rarest shingles (among ``sets``) first.
+    """(node, n, s, token): the prefix of every set, rarest shingles (among ``sets``) first.
 
+    ``s`` counts the set's shingles that some other of ``sets`` has: no overlap is larger.
     Two sets that link share a shingle of their prefixes, whatever the order; with
     the rarest first, sets that only share what is common meet seldom. Shingles of
     one set alone are left out: they meet nothing."""
     every = sets.select("node", "n", F.explode("tokens").alias("token")).withColumn("k", F.reverse(F.col("token").cast("string")))
     often = every.groupBy("token").agg(F.count("*").alias("often")).select(F.reverse(F.col("token").cast("string")).alias("k"), "often")
-    ordered = every.join(often, "k").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("all"))
+    ordered = every.join(often, "k").groupBy("node").agg(
+        F.first("n").alias("n"), F.count_if(F.col("often") > 1).alias("s"), F.sort_array(F.collect_list(F.struct("often", "token"))).alias("all")
+    )
     size = (F.col("n") - F.ceil(F.col("n") * F.lit(LINK_NUM) / F.lit(LINK_DEN)) + 1).cast("int")
-    return ordered.select("node", "n", F.explode(F.slice("all", F.lit(1), size)).alias("p")).where("p.often > 1").select("node", "n", "p.token")
+    able = ordered.where(links(F.col("s"), F.col("n"), F.col("s")))
+    return able.select("node", "n", "s", F.explode(F.slice("all", F.lit(1), size)).alias("p")).where("p.often > 1").select("node", "n", "s", "p.token")
 
 
 def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -315,12 +324,13 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
         live = labelled.withColumn("k", F.reverse(F.col("token").cast("string"))).join(
             open_groups.select(F.reverse(F.col("token").cast("string")).alias("k"), "top"), "k"
         )
-        draw = F.struct(F.xxhash64("node", F.lit(across)).alias("draw"), F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+        draw = F.struct(F.xxhash64("node", F.lit(across)).alias("draw"), F.col("node").alias("leader"), F.col("label").alias("leader_label"), F.col("n").alias("leader_n"), F.col("s").alias("leader_s"))
         # Two leaders a shingle: one of its largest component, one of the rest.
         leaders = live.groupBy("token", (F.col("label") == F.col("top")).alias("side")).agg(F.min(draw).alias("l")).select(
-            F.reverse(F.col("token").cast("string")).alias("k"), "l.leader", "l.leader_label"
+            F.reverse(F.col("token").cast("string")).alias("k"), "l.leader", "l.leader_label", "l.leader_n", "l.leader_s"
         )
-        pairs = live.select("k", "node", "label").join(leaders, "k").where("label != leader_label").select(
+        fit = (F.col("label") != F.col("leader_label")) & _can_link(F.col("n"), F.col("leader_n"), F.col("s"), F.col("leader_s"))
+        pairs = live.select("k", "node", "n", "s", "label").join(leaders, "k").where(fit).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
         ).distinct()
         edges = cut(edges.unionByName(_linked(pairs, sets)).distinct(), "edges")
@@ -328,11 +338,9 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
         return edges
     keyed = lambda df: df.withColumn("k", F.reverse(F.col("token").cast("string")))
     top = keyed(open_groups).select("k", "top")
-    live = cut(keyed(labelled).select("k", "node", "n", "label").join(top, "k"), "live")
-    rest = live.where("label != top").select("k", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    met = live.join(rest, "k").where(
-        (F.col("label") != F.col("lx")) & (LINK_DEN * F.least("n", "nx") >= LINK_NUM * F.greatest("n", "nx"))
-    )
+    live = cut(keyed(labelled).select("k", "node", "n", "s", "label").join(top, "k"), "live")
+    rest = live.where("label != top").select("k", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("label").alias("lx"))
+    met = live.join(rest, "k").where((F.col("label") != F.col("lx")) & _can_link(F.col("n"), F.col("nx"), F.col("s"), F.col("sx")))
     pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     return edges.unionByName(_linked(pairs, sets))
 

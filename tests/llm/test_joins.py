@@ -71,7 +71,8 @@ def test_join_of_nothing(spark):
     assert sorted(map(tuple, ngram_join.link_components(only).collect())) == [(1, 0, 1), (2, 0, 2)]
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_connected_components(spark, few):
     draw = random.Random(5)
     edges = [(f"n{draw.randrange(60):02}", f"n{draw.randrange(60):02}") for _ in range(35)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("n00", None), ("x", "x")]
     df = spark.createDataFrame(edges, "a string, b string")
@@ -80,7 +81,7 @@ def test_connected_components(spark):
     for a, b in edges:
         if a and b and a != b:
             parent[find(parent, max(find(parent, a), find(parent, b)))] = min(find(parent, a), find(parent, b))
-    got = {r.node: r.label for r in connected_components(df).collect()}
+    got = {r.node: r.label for r in connected_components(df, few=few).collect()}
     assert got == {n: find(parent, n) for n in nodes}
     assert connected_components(df.where("false")).count() == 0
 
