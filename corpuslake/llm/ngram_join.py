@@ -81,7 +81,7 @@ def links(overlap, na, nb):
 def _send(held: list[tuple[bytes, np.ndarray]], docs: list[tuple], fragments: int, common: int, turn: int) -> pa.RecordBatch:
     """One row per fragment with the shingles of the held sets there, packed."""
     keys = np.frombuffer(b"".join(k for k, _ in held), np.uint8).reshape(-1, _KEY)
-    sizes = np.array([len(t) for _, t in held])
+    sizes = np.array([len(t) for _, t in held], np.int64)
     tokens = np.concatenate([t for _, t in held]) if held else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(held)), sizes)
     part = ((tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
