@@ -10,9 +10,9 @@ move every byte LENGTH times; instead:
    ranges of the anchor's hash; each range finds, for every segment, whether a
    smaller document has the very same segment (then all its windows repeat), and
    which anchors occur with different segments in different documents.
-2. Only segments of such anchors travel as bytes. Each map task makes a shard:
-   the rotations of its strings, sorted to LENGTH bytes, that is, their
-   Burrows-Wheeler transform. A range's task merges all its shards by iterative
+2. Only segments of such anchors travel as bytes. What a map task sends to a
+   range is a shard; the rotations of its strings, sorted to LENGTH bytes, give
+   its Burrows-Wheeler transform. A range's task merges all its shards by iterative
    interleave refinement: from the interleaving that is right for the first k
    bytes, one stable pass over the merged transform gives that for k + 2, and
    block bounds on the way are the common prefixes. No suffix is sorted again.
@@ -228,23 +228,27 @@ def merge_shards(transforms: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
     merged = np.empty(total, np.uint16)
     for _ in range(depth // 2):
         merged[np.argsort(shard, kind="stable")] = symbols
-        deal = np.argsort(merged, kind="stable")
+        deal = np.argsort(merged, kind="stable").astype(np.int32)
         shard, block, dealt = shard[deal], block[deal], merged[deal]
         bound = np.ones(total, bool)
         bound[1:] = (block[1:] != block[:-1]) | (dealt[1:] != dealt[:-1])
-        block = (np.cumsum(bound) - 1).astype(np.int32)
+        block = np.cumsum(bound, dtype=np.int32) - np.int32(1)
     return shard, block
 
 
-_SHARDS = "part int, docs binary, versions binary, firsts binary, lengths binary, strings binary, order binary"
+_SHARDS = "part int, docs binary, versions binary, firsts binary, lengths binary, strings binary"
+
+
+#: Ranges of segments by bytes, for each range of segments by number.
+FINER = 2
 
 
 def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
-    """One shard per map task and range, of the segments that must be compared.
+    """One shard per map task and (finer) range, of the strings of the segments that must be compared.
 
     ``met``: doc_id, version, text, marks (array of part, status)."""
     names = [x.split()[0] for x in _SHARDS.split(", ")]
-    types = [pa.int32(), *[pa.binary()] * 6]
+    types = [pa.int32(), *[pa.binary()] * 5]
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
         columns: list[list] = [[] for _ in names]
@@ -254,8 +258,7 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
         for part, own in by.items():
             doc, version, first, length = (np.concatenate([o[i] for o in own]) for i in range(4))
             strings = np.concatenate([o[4] for o in own])
-            order = shard_order(strings, length).astype("<u2" if len(strings) <= 65536 else "<u4")
-            for c, v in zip(columns, (part, doc.tobytes(), version.tobytes(), first.astype("<i8").tobytes(), length.astype("<u4").tobytes(), strings.tobytes(), order.tobytes())):
+            for c, v in zip(columns, (part, doc.tobytes(), version.tobytes(), first.astype("<i8").tobytes(), length.astype("<u4").tobytes(), strings.tobytes())):
                 c.append(v)
         return _batch(names, types, columns)
 
@@ -264,7 +267,7 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for block in blocks(rows_of(batch), lambda r: len(r[2]), AT_ONCE):
                 s = Segments([r[2].encode() for r in block])
-                status, part = _statuses(s, [r[3] for r in block], ranges), _range_of(s.anchor, ranges)
+                status, part = _statuses(s, [r[3] for r in block], ranges), _range_of(s.anchor, FINER * ranges)
                 pick = np.flatnonzero(status == 2)
                 if not len(pick):
                     continue
@@ -275,8 +278,8 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
                 ids = np.array([_LAST if r[0] is None else r[0] for r in block], np.int64)[s.text[pick]]
                 versions = np.array([r[1] for r in block], np.int64)[s.text[pick]]
                 first = s.first[pick] - s.starts[s.text[pick]]
-                cuts = np.searchsorted(part[pick], np.arange(ranges + 1))
-                for f in range(ranges):
+                cuts = np.searchsorted(part[pick], np.arange(FINER * ranges + 1))
+                for f in range(FINER * ranges):
                     a, b = cuts[f], cuts[f + 1]
                     if a < b:
                         held.append((f, ids[a:b], versions[a:b], first[a:b], length[a:b], data[end[a] - length[a] : end[b - 1]]))
@@ -316,17 +319,20 @@ def _merge_range(rows: pa.Table) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary())])
     read = lambda name, ty: [np.frombuffer(x, ty) for x in rows.column(name).to_pylist()]
     strings, lengths = read("strings", np.uint8), read("lengths", "<u4")
-    orders = [np.frombuffer(x, "<u2" if len(t) <= 65536 else "<u4") for x, t in zip(rows.column("order").to_pylist(), strings)]
-    transforms = [pairs_before(t, n.astype(np.int64))[1][o] for t, n, o in zip(strings, lengths, orders)]
+    lengths = [n.astype(np.int64) for n in lengths]
+    orders = [shard_order(t, n) for t, n in zip(strings, lengths)]
+    transforms = [pairs_before(t, n)[1][o] for t, n, o in zip(strings, lengths, orders)]
+    del strings
     doc, version, first = (np.concatenate(read(n, "<i8")) for n in ("docs", "versions", "firsts"))
     shard, block = merge_shards(transforms)
     size = np.array([len(o) for o in orders])
     base = np.cumsum(size) - size
-    place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.concatenate([o.astype(np.int64) + b for o, b in zip(orders, base)])
-    length = np.concatenate(lengths).astype(np.int64)
-    string = np.repeat(np.arange(len(length)), length)
-    offset = np.arange(len(string)) - np.repeat(np.cumsum(length) - length, length)
+    place = np.empty(len(shard), np.int32)
+    place[np.argsort(shard, kind="stable")] = np.concatenate([o + np.int32(b) for o, b in zip(orders, base)])
+    del shard, transforms, orders
+    length = np.concatenate(lengths)
+    string = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    offset = (np.arange(len(string)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
     keep = (offset <= length[string] - LENGTH)[place]
     place, block = place[keep], block[keep]
     string, offset = string[place], offset[place]
@@ -365,7 +371,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    status = cut(_send_names(slim, ranges).groupBy("part").applyInArrow(_judge_names, _STATUS), "status", release=True)
+    status = cut(_send_names(slim, ranges).groupBy("part").applyInArrow(_judge_names, _STATUS), "status")
     # A document is named by a number that its id and text give; a null id stands last.
     key = lambda d: F.xxhash64(F.coalesce(d, F.lit(_LAST)), F.col("version"))
     marks = cut(
@@ -374,7 +380,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     open_marks = marks.where(F.exists("marks", lambda m: F.instr(F.hex(m["status"]), "02") > 0))
     met = slim.withColumn("k", key(F.col("doc_id"))).join(open_marks, "k").select("doc_id", "version", "text", "marks")
-    found = cut(_send_shards(met, ranges).groupBy("part").applyInArrow(_merge_range, _REPEATS), "repeats", release=True)
+    found = cut(_send_shards(met, ranges).groupBy("part").applyInArrow(_merge_range, _REPEATS), "repeats")
     starts = cut(found.withColumn("k", key(F.col("doc_id"))).groupBy("k").agg(F.collect_list("starts").alias("starts")), "starts")
     extra = F.struct("marks", "starts")
     known = marks.join(starts, "k", "full_outer").select("k", extra.alias("_known"))

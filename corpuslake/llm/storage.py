@@ -6,16 +6,20 @@ that is unset (tests, notebooks) is a local one made.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that a step hands to Python at once.
-BATCH_ROWS = 512
+#: Settings while a scratch table is written. Rows are whole documents, of which
+#: batches of the default length would hold tens of MB in and beside the JVM; and
+#: once the table is there, nobody needs the shuffle files that led to it.
+_WHILE_WRITING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,24 +36,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str) -> DataFrame:
     """Run ``df`` once, keep it as a table in the shared folder, and read that.
 
     Later steps start from the table: a lost executor costs no recomputation of
-    what lies before it, and no plan grows from round to round. ``release`` asks
-    the driver to collect garbage, which lets Spark delete shuffle files that the
-    finished step no longer needs.
+    what lies before it, and no plan grows from round to round. The step's shuffle
+    files go with it.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_BATCH)
-    # Rows are whole documents: batches of the default length would hold tens of MB in and beside the JVM.
-    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS)))
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(_BATCH, before)
-    if release:
-        gc.collect()
-        spark._jvm.System.gc()
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
