@@ -146,14 +146,55 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, _SENT)
 
 
-_STATUS = "doc_id long, version long, part int, status binary"
+_DEALT = "bucket int, part int, docs binary, versions binary, sizes binary, data binary"
+_MARKS = "doc_id long, version long, marks array<struct<part:int,data:binary>>"
 
 
-def _judge_names(rows: pa.Table) -> pa.Table:
-    """Per document and range, a byte for each of its segments there, in order:
+def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places first, first + 1, ... of each slice, one slice after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _deal(part: int, doc: np.ndarray, version: np.ndarray, size: np.ndarray, data: np.ndarray, buckets: int) -> pa.Table:
+    """What a range found (``size`` bytes of ``data`` for each document), packed by buckets of documents."""
+    bucket = (mix(doc.astype(np.int64).view(_U) ^ mix(version.view(_U))) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    data = data[_slices((np.cumsum(size) - size)[order], size[order])]
+    doc, version, size, bucket = doc[order], version[order], size[order], bucket[order]
+    at = np.searchsorted(bucket, np.arange(buckets + 1))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    full = [b for b in range(buckets) if at[b] < at[b + 1]]
+    cut_up = lambda x, ty: [x[at[b] : at[b + 1]].astype(ty).tobytes() for b in full]
+    columns = (full, [part] * len(full), cut_up(doc, "<i8"), cut_up(version, "<i8"), cut_up(size, "<u4"), [data[ends[at[b]] : ends[at[b + 1]]].tobytes() for b in full])
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _DEALT.split(", ")])
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """All that ranges found about a bucket's documents, one row a document."""
+    release()
+    join = lambda name, ty: np.frombuffer(b"".join(rows.column(name).to_pylist()), ty)
+    doc, version, size, data = join("docs", "<i8"), join("versions", "<i8"), join("sizes", "<u4").astype(np.int64), join("data", np.uint8)
+    part = np.repeat(np.array(rows.column("part").to_pylist(), np.int32), [len(x) // 8 for x in rows.column("docs").to_pylist()])
+    order = np.lexsort((part, version, doc))
+    same = lambda x: x[order][1:] == x[order][:-1]
+    # Rows that are the same all through were found twice.
+    order = order[np.concatenate(([True], ~(same(doc) & same(version) & same(part))))] if len(order) else order
+    data = data[_slices((np.cumsum(size) - size)[order], size[order])]
+    doc, version, part, size = doc[order], version[order], part[order], size[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])))) if len(doc) else np.zeros(0, np.int64)
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    struct = pa.StructArray.from_arrays([pa.array(part, pa.int32()), found], names=["part", "data"])
+    marks = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), struct)
+    return pa.Table.from_arrays([pa.array(doc[new]), pa.array(version[new]), marks], names=["doc_id", "version", "marks"])
+
+
+def _judge_names(rows: pa.Table, buckets: int) -> pa.Table:
+    """Per document of a range, a byte for each of its segments there, in order:
     1 if a smaller document has the segment, 2 if its anchor must be compared, else 0."""
     release()
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("part", pa.int32()), ("status", pa.binary())])
     join = lambda name, ty: np.frombuffer(b"".join(rows.column(name).to_pylist()), ty)
     doc, version, count = join("docs", "<i8"), join("versions", "<i8"), join("counts", "<u4").astype(np.int64)
     anchor, name = join("anchors", "<u4"), join("names", _U)
@@ -180,9 +221,8 @@ def _judge_names(rows: pa.Table) -> pa.Table:
     status[order] = repeated + 2 * compare
     end = np.cumsum(count)
     some = np.flatnonzero(np.add.reduceat(status.astype(np.int64), end - count) > 0) if len(end) else np.zeros(0, np.int64)
-    part = rows.column("part")[0].as_py()
-    columns = [doc[some], version[some], np.full(len(some), part, np.int32), [status[end[i] - count[i] : end[i]].tobytes() for i in some]]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    told = status[_slices((end - count)[some], count[some])]
+    return _deal(rows.column("part")[0].as_py(), doc[some], version[some], count[some], told, buckets)
 
 
 # ---------------------------------------------------------------- segments by bytes
@@ -305,18 +345,14 @@ def _statuses(s: Segments, marks: list, ranges: int) -> np.ndarray:
     for text, own in enumerate(marks):
         for mark in own or ():
             a = np.searchsorted(cell, text * ranges + mark["part"])
-            got = np.frombuffer(mark["status"], np.uint8)
+            got = np.frombuffer(mark["data"], np.uint8)
             status[order[a : a + len(got)]] = got
     return status
 
 
-_REPEATS = "doc_id long, version long, starts binary"
-
-
-def _merge_range(rows: pa.Table) -> pa.Table:
+def _merge_range(rows: pa.Table, buckets: int) -> pa.Table:
     """Starts of windows that repeat one of a smaller document, by document."""
     release()
-    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("starts", pa.binary())])
     read = lambda name, ty: [np.frombuffer(x, ty) for x in rows.column(name).to_pylist()]
     strings, lengths = read("strings", np.uint8), read("lengths", "<u4")
     lengths = [n.astype(np.int64) for n in lengths]
@@ -338,17 +374,14 @@ def _merge_range(rows: pa.Table) -> pa.Table:
     string, offset = string[place], offset[place]
     own = doc[string]
     start = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else np.zeros(0, np.int64)
-    if not len(start):
-        return pa.Table.from_pylist([], schema=schema)
-    repeat = own > np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(own))))
+    repeat = own > np.repeat(np.minimum.reduceat(own, start), np.diff(np.append(start, len(own)))) if len(start) else np.zeros(0, bool)
     string, at = string[repeat], (first[string] + offset)[repeat]
     order = np.lexsort((at, version[string], doc[string]))
     string, at = string[order], at[order]
     d, v = doc[string], version[string]
     new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])))) if len(d) else np.zeros(0, np.int64)
-    ends = np.append(new[1:], len(d))
-    columns = [d[new], v[new], [at[a:b].astype("<i8").tobytes() for a, b in zip(new, ends)]]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    size = 4 * np.diff(np.append(new, len(d)))
+    return _deal(rows.column("part")[0].as_py(), d[new], v[new], size, np.frombuffer(at.astype("<u4").tobytes(), np.uint8), buckets)
 
 
 # ---------------------------------------------------------------- cutting
@@ -371,19 +404,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    status = cut(_send_names(slim, ranges).groupBy("part").applyInArrow(_judge_names, _STATUS), "status")
     # A document is named by a number that its id and text give; a null id stands last.
     key = lambda d: F.xxhash64(F.coalesce(d, F.lit(_LAST)), F.col("version"))
-    marks = cut(
-        status.withColumn("k", key(F.col("doc_id"))).dropDuplicates(["k", "part", "status"]).groupBy("k", "part").agg(F.first("status").alias("status"))
-        .groupBy("k").agg(F.collect_list(F.struct("part", "status")).alias("marks")), "marks",
-    )
-    open_marks = marks.where(F.exists("marks", lambda m: F.instr(F.hex(m["status"]), "02") > 0))
+
+    def gathered(sent: DataFrame, find, name: str) -> DataFrame:
+        """(k, name) of what ``find`` found in each range, one row a document."""
+        found = sent.groupBy("part").applyInArrow(lambda t: find(t, ranges), _DEALT)
+        told = found.groupBy("bucket").applyInArrow(_gather, _MARKS)
+        return cut(told.select(key(F.col("doc_id")).alias("k"), F.col("marks").alias(name)), name)
+
+    marks = gathered(_send_names(slim, ranges), _judge_names, "marks")
+    open_marks = marks.where(F.exists("marks", lambda m: F.instr(F.hex(m["data"]), "02") > 0))
     met = slim.withColumn("k", key(F.col("doc_id"))).join(open_marks, "k").select("doc_id", "version", "text", "marks")
-    found = cut(_send_shards(met, ranges).groupBy("part").applyInArrow(_merge_range, _REPEATS), "repeats")
-    starts = cut(found.withColumn("k", key(F.col("doc_id"))).groupBy("k").agg(F.collect_list("starts").alias("starts")), "starts")
-    extra = F.struct("marks", "starts")
-    known = marks.join(starts, "k", "full_outer").select("k", extra.alias("_known"))
+    starts = gathered(_send_shards(met, ranges), _merge_range, "starts")
+    known = marks.join(starts, "k", "full_outer").select("k", F.struct("marks", "starts").alias("_known"))
     version = F.xxhash64(text).alias("version")
     joined = docs.withColumn("version", version).withColumn("k", key(F.col(id_col).cast("long"))).drop("version").join(cut(known, "known"), "k", "left").drop("k")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
@@ -404,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     cuts = np.searchsorted(s.text, np.arange(len(some) + 1))
                     for j, i in enumerate(some):
                         own = np.arange(cuts[j], cuts[j + 1])[flag[cuts[j] : cuts[j + 1]]]
-                        more = [np.frombuffer(x, "<i8") for x in block[i][1]["starts"] or ()]
+                        more = [np.frombuffer(x["data"], "<u4").astype(np.int64) for x in block[i][1]["starts"] or ()]
                         first = np.concatenate([s.first[own] - s.starts[j], *more])
                         windows = np.concatenate([s.windows[own], *[np.ones(len(m), np.int64) for m in more]])
                         hide[i] = covered(first.astype(np.int64), windows.astype(np.int64), len(texts[i]))
