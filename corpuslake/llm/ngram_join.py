@@ -19,8 +19,9 @@ made from them. What that leaves out is made good exactly:
   three quarters common shingles on both sides. These sets (members of large
   groups of near copies) are joined by prefix shingles: rounds of comparing all
   members with one leader per shingle first merge each group into one
-  component, and then every pair with a common prefix shingle across two
-  components is compared, so that no link between components is lost.
+  component; what is left over is compared, in cells of bounded size, with all
+  sets that it can meet, so that no link between components is lost. A cell
+  gives one link for each two components that it joins, never all pairs.
 
 The result is one row per document with its component. A link may be implied
 (two members that the same leader links) rather than listed.
@@ -58,6 +59,8 @@ PAIRS_AT_ONCE = 1_000_000
 BROADCAST_IDS = 200_000
 #: Leader rounds go on while pairs across components number more than this times the postings.
 PAIRS_PER_POSTING = 8
+#: Sets on each side of a cell, in which sets of large groups are compared.
+CELL = 512
 _KEY = 16
 _MIXED = "kind int, a binary, b binary, na long, nb long, v long"
 
@@ -336,13 +339,57 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
         edges = cut(edges.unionByName(_linked(pairs, sets)).distinct(), "edges")
     if not across:
         return edges
-    keyed = lambda df: df.withColumn("k", F.reverse(F.col("token").cast("string")))
-    top = keyed(open_groups).select("k", "top")
-    live = cut(keyed(labelled).select("k", "node", "n", "s", "label").join(top, "k"), "live")
-    rest = live.where("label != top").select("k", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("label").alias("lx"))
-    met = live.join(rest, "k").where((F.col("label") != F.col("lx")) & _can_link(F.col("n"), F.col("nx"), F.col("s"), F.col("sx")))
-    pairs = met.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    return edges.unionByName(_linked(pairs, sets))
+    name = lambda c: F.hex(c)
+    live = cut(
+        labelled.withColumn("k", F.reverse(F.col("token").cast("string")))
+        .join(open_groups.select(F.reverse(F.col("token").cast("string")).alias("k"), "top"), "k")
+        .select("k", "node", "label", (F.col("label") != F.col("top")).alias("odd")), "live",
+    )
+    # Sets that meet in some group, directly or through others, are a family.
+    first = live.groupBy("k").agg(F.min(name("node")).alias("b")).select(F.reverse("k").alias("r"), "b")
+    met = live.select(F.reverse("k").alias("r"), name("node").alias("a")).join(first, "r").select("a", "b").distinct()
+    families = connected_components(met).select(F.unhex("node").alias("node"), F.col("label").alias("family"))
+    members = live.groupBy("node").agg(F.first("label").alias("label"), F.max("odd").alias("odd")).join(families, "node")
+    members = cut(members.withColumn("draw", F.pmod(F.xxhash64("node"), F.lit(1 << 20))), "families")
+    blocks_of = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
+    sizes = members.groupBy("family").agg(blocks_of(F.count("*")).alias("nb"), blocks_of(F.count_if("odd")).alias("no")).withColumnRenamed("family", "f")
+    sized = members.withColumn("h", F.reverse("family")).join(sizes.select(F.reverse("f").alias("h"), "nb", "no"), "h").drop("h")
+    every = F.sequence(F.lit(0), F.col("no") - 1)
+    left = sized.where("odd").select("node", "label", "family", F.lit(0).alias("side"), (F.col("draw") % F.col("no")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    right = sized.select("node", "label", "family", F.lit(1).alias("side"), F.explode(every).alias("i"), (F.col("draw") % F.col("nb")).cast("int").alias("j"))
+    keyed = lambda df: df.withColumn("h", F.reverse(F.hex("node")))
+    cells = keyed(left.unionByName(right)).join(keyed(sets.select("node", "n", "tokens")).drop("node"), "h").drop("h")
+    found = cells.groupBy("family", "i", "j").applyInArrow(_compare_cell, "a binary, b binary")
+    return edges.unionByName(found)
+
+
+def _compare_cell(rows: pa.Table) -> pa.Table:
+    """Links of a cell: each set of side 0 against each of side 1, as many as join different labels anew."""
+    release()
+    side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+    node, label = rows.column("node").to_pylist(), rows.column("label").to_pylist()
+    flat = rows.column("tokens").combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    owner = np.repeat(np.arange(len(n)), flat.value_lengths().to_numpy(zero_copy_only=False))
+    token, at, often = np.unique(flat.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    keep = often[at] > 1
+    place = np.cumsum(often > 1) - 1
+    owner, column = owner[keep], place[at[keep]]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        has = np.zeros((len(n), 4096), np.float32)
+        has[owner[a:b], column[a:b] - start] = 1
+        overlap += has[left] @ has[right].T
+    code = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+    fit = links(overlap.astype(np.int64), n[left][:, None], n[right][None, :]) & (code[left][:, None] != code[right][None, :])
+    i, j = np.nonzero(fit)
+    _, one = np.unique(np.stack((code[left[i]], code[right[j]])), axis=1, return_index=True)
+    pick = [(node[left[i[o]]], node[right[j[o]]]) for o in one]
+    return pa.Table.from_arrays([pa.array([p[0] for p in pick], pa.binary()), pa.array([p[1] for p in pick], pa.binary())], names=["a", "b"])
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

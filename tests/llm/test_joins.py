@@ -56,8 +56,9 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("common", [2, ngram_join.COMMON])
-def test_components_match_brute_force(spark, common):
+@pytest.mark.parametrize("common,patience", [(2, 8), (2, 10**9), (ngram_join.COMMON, 8)])
+def test_components_match_brute_force(spark, monkeypatch, common, patience):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", patience)
     rows = near_copies()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, part int").repartition(5)
     got = sorted((LAST if r[0] is None else r[0], r[1], r[2]) for r in ngram_join.link_components(df, common=common).collect())
