@@ -81,7 +81,8 @@ class Segments:
             new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
             a, b = inside[new], inside[np.append(new[1:], len(at)) - 1] if len(at) else inside[:0]
             self.text, self.first, self.windows = text[a], a, b - a + 1
-            self.anchor = gram[at[new]]
+            # Mixed again: least hashes all lie low, and ranges of them would be far from even.
+            self.anchor = mix(gram[at[new]] ^ _U(0x5851F42D4C957F2D))
             own = (total[b + LENGTH] - total[a]) * down[a]
             self.name = mix(own + self.windows.astype(_U) * _U(0x9E3779B97F4A7C15) + mix((at[new] - a + 1).astype(_U)))
 
