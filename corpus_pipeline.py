@@ -31,8 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near copies the document with the smallest id.
 
-    Rows are told apart by their place in the table, so that repeated ids do no harm."""
-    placed = docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    Rows are told apart by their place in the table, so that repeated ids do no harm.
+    The places are written, since each job that plans the scan anew may number otherwise."""
+    placed = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "placed")
     found = link_components(placed, id_col="_row").withColumnRenamed("doc_id", "_row")
     ids = placed.select("_row", "doc_id")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("_row").alias("r")))["r"].alias("_row")
