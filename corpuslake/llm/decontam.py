@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are sequences of words (letters, digits and every non-ASCII character,
-in lower case). Seeds, runs of SEED words, are hashed by one
+Texts are sequences of words (letters, digits and every non-ASCII character but
+white space and the punctuation of East Asia, in lower case; in scripts written
+without spaces each character is a word). Seeds, runs of SEED words, are hashed by one
 running Karp-Rabin pass over a document and looked up among the benchmark's
 seeds. For every test item that shares a seed, the matches are the maximal runs
 of seeds on one diagonal, checked word by word; the longest is marked, what
@@ -20,6 +21,7 @@ by itself, and the id is listed once; items without an id are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,24 @@ THRESHOLD = 0.5
 #: Bytes of benchmark text whose seeds are held at once; a larger benchmark is
 #: taken in several blocks, each a pass over the rows, without a shuffle.
 BLOCK_BYTES = 16_000_000
+#: Characters that are words by themselves (Thai, Lao, Burmese, Khmer, kana, Bopomofo, Chinese), or else non-ASCII separators.
+_UNSPACED = re.compile(
+    "([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3038-\u303c\u3041-\u309f"
+    "\u30a1-\u30fa\u30fc-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])"
+    "|[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000-\u3004\u3008-\u3020\u302a-\u3030\u3036\u3037\u303d-\u303f\u30a0\u30fb"
+    "\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]"
+)
+
+
+def _bytes(text: str | None) -> bytes:
+    """The text with spaces between its words."""
+    text = (text or "").lower()
+    return (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).encode()
+
+
+def _weight(text: str | None) -> int:
+    """Bytes that ``_bytes`` gives at most; unspaced text has as many more words."""
+    return len(text or "") * (1 if (text or "").isascii() else 6)
 
 
 class Items:
@@ -42,7 +62,7 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], seed: int = SEED):
         self.ids = [i for i, _ in items]
         self.seed = seed
-        values, bounds = words([(t or "").lower().encode() for _, t in items], NOT_ALNUM)
+        values, bounds = words([_bytes(t) for _, t in items], NOT_ALNUM)
         self.words = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         found, at = runs(values, bounds, seed)
         counts = np.diff(at)
@@ -93,7 +113,7 @@ def coverages(texts: list[str | None], items: Items) -> list[list[tuple[int, flo
     out: list[list] = [[] for _ in texts]
     if not len(items.seeds):
         return out
-    values, bounds = words([(t or "").lower().encode() for t in texts], NOT_ALNUM)
+    values, bounds = words([_bytes(t) for t in texts], NOT_ALNUM)
     found, at = runs(values, bounds, items.seed)
     lower = np.searchsorted(items.seeds, found)
     hit = np.flatnonzero(items.seeds[np.minimum(lower, len(items.seeds) - 1)] == found)
@@ -113,7 +133,7 @@ def coverages(texts: list[str | None], items: Items) -> list[list[tuple[int, flo
 def _benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """Blocks of items, streamed to the driver one partition at a time."""
     rows = benchmark.where(F.col(id_col).isNotNull()).select(id_col, text_col).toLocalIterator()
-    yield from blocks(((r[0], r[1]) for r in rows), lambda r: len(r[1] or ""), BLOCK_BYTES)
+    yield from blocks(((r[0], r[1]) for r in rows), lambda r: _weight(r[1]), BLOCK_BYTES)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED,
@@ -134,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for batch in batches:
                 coverage, leaked = (batch.column(n).to_pylist() for n in ("coverage", "leaked_items"))
                 row = 0
-                for texts in blocks(batch.column(at).to_pylist(), lambda t: len(t or ""), 2_000_000):
+                for texts in blocks(batch.column(at).to_pylist(), _weight, 2_000_000):
                     for own in coverages(texts, known):
                         if own:
                             coverage[row] = max(coverage[row], *(c for _, c in own))
