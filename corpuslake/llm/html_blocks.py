@@ -16,10 +16,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I | re.S)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Elements whose text is never shown as text.
-HIDDEN = frozenset("script style noscript template textarea title head svg math iframe object select option datalist".split())
+#: Elements whose text is never shown as text (an annotation says in source what the formula before it shows).
+HIDDEN = frozenset("script style template textarea title head iframe select option datalist annotation annotation-xml".split())
 #: Of these, the ones that hold raw text up to their end tag.
-RAW = frozenset("script style textarea title iframe noscript".split())
+RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
