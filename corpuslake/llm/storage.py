@@ -1,12 +1,15 @@
 """Shared scratch tables: lineage is cut by writing and rereading Parquet.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only when
-that is unset (tests, notebooks) is a local one made.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+session (tests, notebooks) may go without: it gets a folder of its own, for there
+the driver and the executors are one process. A cluster without the setting is an
+error, as no folder of one machine would do.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +23,16 @@ _WHILE_WRITING = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+#: Settings are the session's, so threads write in turn.
+_ONE_WRITER = threading.RLock()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder, from the session's own setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="corpuslake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,21 +43,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, path: str, *by: str) -> None:
+    """Write ``df`` to ``path`` as Parquet, in folders ``by`` columns; the shuffle files that led to it go."""
+    spark = df.sparkSession
+    with _ONE_WRITER:
+        before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
+        try:
+            df.write.mode("overwrite").partitionBy(*by).parquet(path)
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     """Run ``df`` once, keep it as a table in the shared folder, and read that.
 
     Later steps start from the table: a lost executor costs no recomputation of
-    what lies before it, and no plan grows from round to round. The step's shuffle
-    files go with it.
+    what lies before it, and no plan grows from round to round. Tables of earlier
+    cuts in ``spent`` are deleted afterwards; no later step may read them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
-    for k, v in _WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.mode("overwrite").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    write_table(df, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    discard(*spent)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later step reads, and those that a result names as its own (``reads``)."""
+    for table in [t for given in tables for t in (given, *getattr(given, "reads", ()))]:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            table.scratch_path = None

@@ -7,7 +7,8 @@ head) is stored in ``records``. Whole records come back from a join of the two.
 Null text is an empty payload; a null id is kept, and can be a response, but
 orders before every number. Rows that repeat an id are records of their own; of
 such ties one is the response and the others revisit it. An empty table gives
-an archive without records. Extra columns are ignored.
+an archive without records. Extra columns are ignored. A record whose payload is
+lost or altered is an error when it is read, never a missing row.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fresh_path
+from .storage import cut, discard, fresh_path, write_table
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_MIN_BYTES = 1000
@@ -83,74 +84,65 @@ def write_archive(
 
     Who owns a payload is settled on digests alone: one aggregation that is
     combined before the shuffle, so a payload with a third of all rows is a few
-    rows there. Payload bytes move once, to meet that answer.
+    rows there, as it is where payloads are stored.
     """
-    archive = Archive(path)
+    archive, spark = Archive(path), pages.sparkSession
     payload = F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.col(url_col).cast("string").alias("url"),
-        F.monotonically_increasing_id().alias("seq"),
-        payload.alias("payload"),
-    ).select(
-        "id", "url", "seq", "payload",
-        F.octet_length("payload").cast("long").alias("n_bytes"),
-        F.sha2("payload", 256).alias("digest"),
-        F.sha1("payload").alias("sha1"),
-    )
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    # Rows are numbered once, in a table: every later step sees the same numbers.
+    size = F.octet_length("payload").cast("long")
+    slim = rows.select("id", "url", F.monotonically_increasing_id().alias("seq"), size.alias("n_bytes"), "digest", F.sha1("payload").alias("sha1"))
+    slim = cut(slim, "rows")
     owners = (
-        rows.groupBy("digest")
+        slim.groupBy("digest")
         .agg(F.max(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("o"), "seq", "id")).alias("owner"))
         .select(F.reverse("digest").alias("rd"), F.col("owner.id").alias("owner_id"), F.col("owner.seq").alias("owner_seq"))
     )
-    heads = rows.drop("payload").withColumn("rd", F.reverse("digest")).join(owners, "rd").drop("rd")
+    heads = slim.withColumn("rd", F.reverse("digest")).join(owners, "rd").drop("rd")
     kind = F.when((F.col("n_bytes") >= revisit_min_bytes) & (F.col("seq") != F.col("owner_seq")), "revisit").otherwise("response")
-    heads.withColumn("kind", kind).select("seq", "digest", _head().alias("head")).write.parquet(archive.records)
-    (
-        rows.select("seq", "digest", "payload")
-        .join(owners.select(F.col("owner_seq").alias("seq")), "seq", "left_semi")
-        .select("digest", "payload")
-        .write.parquet(archive.payloads)
-    )
+    write_table(heads.withColumn("kind", kind).select("seq", "digest", _head().alias("head")), archive.records)
+    # Payloads of a digest are all the same: each task keeps one before the shuffle.
+    write_table(rows.groupBy("digest").agg(F.first("payload").alias("payload")), archive.payloads)
+    discard(slim)
     return archive
 
 
 def read_records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Every record, whole: seq, head (text), digest, payload and ``record``, its exact bytes.
+    """Every record, whole: seq, head (text), digest, payload, payload_digest (SHA-1) and ``record``, its exact bytes.
 
     A revisit's ``record`` is its head alone; its payload is that of the record it refers to.
-    """
-    records, payloads = spark.read.parquet(archive.records), spark.read.parquet(archive.payloads)
+    Payloads are checked against their digests once each, before records meet them."""
+    wrong = lambda *what: F.raise_error(F.concat(*what)).cast("string")
+    checked = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(wrong(F.lit("payload does not match digest "), F.col("digest")))
+    stored = spark.read.parquet(archive.payloads).select(F.reverse(checked).alias("rd"), "payload", F.sha1("payload").alias("payload_digest"))
+    records = spark.read.parquet(archive.records).withColumn("rd", F.reverse("digest")).join(stored, "rd", "left").drop("rd")
+    there = F.when(F.col("payload").isNotNull(), F.col("payload_digest")).otherwise(wrong(F.lit("payload is lost: "), F.col("digest")))
     tail = F.encode(F.lit(_EOL * 2), "utf-8")
-    body = F.when(F.col("head").contains("\nWARC-Type: revisit\r"), F.encode(F.lit(""), "utf-8")).otherwise(F.col("payload"))
-    return records.join(payloads, "digest").withColumn("record", F.concat(F.encode("head", "utf-8"), body, tail))
+    body = F.when(_field("WARC-Type") == "revisit", F.encode(F.lit(""), "utf-8")).otherwise(F.col("payload"))
+    return records.withColumns({"payload_digest": there, "record": F.concat(F.encode("head", "utf-8"), body, tail)})
+
+
+def _field(name: str) -> F.Column:
+    return F.regexp_extract("head", f"\\r\\n{name}: ([^\\r]*)\\r\\n", 1)
 
 
 def read_index(spark: SparkSession, archive: Archive) -> DataFrame:
     """Per record: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Read back from the archive: sizes and digests come from the stored bytes, each
-    payload hashed once, and a payload that does not match its digest is an error.
+    Read back from whole records: a digest that is not the payload's, or a record that
+    is not as long as it says, is an error.
     """
-    records, payloads = spark.read.parquet(archive.records), spark.read.parquet(archive.payloads)
-    stored = payloads.select(
-        F.reverse(
-            F.when(F.sha2("payload", 256) == F.col("digest"), F.col("digest")).otherwise(
-                F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest"))).cast("string")
-            )
-        ).alias("rd"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-    )
-    field = lambda name: F.regexp_extract("head", f"\\r\\n{name}: ([^\\r]*)\\r\\n", 1)
-    number = lambda name: F.when(field(name) != "", field(name).cast("long"))
-    return records.withColumn("rd", F.reverse("digest")).join(stored, "rd").select(
+    number = lambda name: F.when(_field(name) != "", _field(name).cast("long"))
+    whole = F.octet_length("record") == F.octet_length(F.encode(F.substring_index("head", _EOL * 2, 1), "utf-8")) + number("Content-Length") + 8
+    same = _field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))
+    return read_records(spark, archive).select(
         number("X-Id").alias("id"),
-        "payload_bytes",
-        F.when(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest"))
-        .otherwise(F.raise_error(F.lit("a record's digest differs from its payload's")).cast("string"))
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(same & whole, F.col("payload_digest"))
+        .otherwise(F.raise_error(F.lit("a record's digest or length differs from its payload's")).cast("string"))
         .alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
+        _field("WARC-Type").alias("record_type"),
         number("X-Refers-To-Id").alias("refers_to"),
     )
 
