@@ -7,10 +7,12 @@ messages are rendered with a template whose control strings cannot occur in a
 text, because texts are escaped reversibly.
 
 Null text is empty text; a null role is an empty role; a null turn sorts first.
-Events that tie on sequence are taken in order of kind, role and text, so
-repeated rows have one defined result. An empty log gives no rows; extra
-columns are ignored. A conversation's fold ends in one string per conversation,
-which is what the output has; turns are folded apart from each other before.
+Events that tie on sequence are taken in order of kind, role and text, and
+messages that tie on turn in order of role and text, so repeated rows have one
+defined result. An empty log gives no rows; extra columns are ignored. Messages
+are folded apart from each other, so a conversation that has a third of all
+events is folded in many tasks; only its final messages meet, as it ends in one
+string. Texts of any length are folded whole.
 """
 
 from __future__ import annotations
@@ -46,8 +48,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     order = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     last = lambda name: F.max(F.when(F.col(name).isNotNull(), F.struct("seq", name)))[name]
     folded = (
-        events.repartition("conv_id")
-        .groupBy("conv_id", "message")
+        events.groupBy("conv_id", "message")
         .agg(
             F.sort_array(F.collect_list(order)).alias("log"),
             F.max(F.when(F.coalesce("kind", F.lit("")) != "delta", order)).alias("base"),
@@ -62,11 +63,11 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted): all messages of a conversation (turn, role, text), by turn."""
+    """(conv_id, formatted): all messages of a conversation (turn, role, text), by turn; ties by role, then by plain text."""
     piece = F.concat(
         F.lit(BEGIN), escape(F.coalesce("role", F.lit(""))), F.lit(HEAD_END), escape(F.coalesce("text", F.lit(""))), F.lit(END)
     )
-    order = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), piece.alias("piece"))
+    order = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), piece.alias("piece"))
     return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(order)).alias("all")).select(
         "conv_id", F.array_join(F.transform("all", lambda m: m["piece"]), "").alias("formatted")
     )
@@ -89,17 +90,33 @@ def with_loss(turns: Column, trained: str = "assistant") -> Column:
     return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == trained), lambda t: t["text"]), "")
 
 
+def event_log(rows: DataFrame) -> DataFrame:
+    """The log of events that leads to ``rows`` (conv_id, turn, role, text), one message each.
+
+    An assistant's message is streamed: it is opened with the first half of its text, then
+    dropped and regenerated, and the other half comes as a delta. Any other is sent as a
+    draft and then edited. Events of a message are in sequence; its number is given once
+    for all of them, as they are made of one row."""
+    half = F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    text, none = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text) - half)
+    event = lambda n, kind, role, part: F.struct(F.lit(n).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), part.alias("text"))
+    role = F.col("role")
+    streamed = F.array(event(0, "message", role, none), event(1, "delta", none, rest), event(2, "regenerate", none, first), event(3, "delta", none, rest))
+    typed = F.array(event(0, "message", role, first), event(1, "delta", none, F.lit("...")), event(2, "edit", none, text))
+    numbered = rows.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), F.when(role == "assistant", streamed).otherwise(typed).alias("e"))
+    return numbered.select("conv_id", "turn", "message", F.explode("e").alias("e")).select("conv_id", "turn", "message", "e.*")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query: format all conversations and conversation -1, and read the output back."""
+    """The query: fold the events of all conversations and conversation -1, format them, and read the output back."""
     say = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(say).alias("text"),
     )
-    log = rows.unionByName(extra)
-    events = log.withColumns({"message": F.monotonically_increasing_id(), "seq": F.col("turn"), "kind": F.lit("message")})
-    out = render(fold_events(events)).withColumn("turns", parse(F.col("formatted")))
+    out = render(fold_events(event_log(rows.unionByName(extra)))).withColumn("turns", parse(F.col("formatted")))
     loss = with_loss(F.col("turns"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
