@@ -2,64 +2,70 @@
 
 A document's token ids, with an end id, are cut into as many full windows as
 fit and then into pieces of the binary lengths of the rest, longest first.
-Pieces of equal length form a bucket; each piece is a sequence of its own, so
-no sequence crosses documents and none needs padding.
+Pieces of equal length form a bucket: they are dealt out by length, numbered
+within it, and stand in batches of equal token counts. Each piece is a sequence
+of its own, so no sequence crosses documents and none needs padding.
 
+Ids are those of the ``tokenizers`` library for the whole text, its added tokens
+included; with ``ordinary`` their strings in a text are ordinary text instead.
 Null text is empty text: its one id is the end id. Repeated rows and null ids
-are packed like any other row. An empty table gives no pieces; extra columns
-are ignored. Texts are tokenized whole; a Python worker holds one block of
-texts at a time.
+are packed like any other row. An empty table gives no pieces; extra columns,
+whatever their names, are ignored. Texts are tokenized whole; a Python worker
+holds one block of texts at a time.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import fresh_path, write_table
 from .textarrays import blocks
 
 WINDOW = 1024
-#: The tokenizer's merge ranks and split pattern; the same vocabulary as byte_bpe_50k.json.
-RANKS_FILE = "byte_bpe_50k.tiktoken"
+#: The tokenizer's file.
+TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Distinct words kept per worker; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
+#: Tokens of a batch: sequences of one length, as many as fit.
+BATCH_TOKENS = 65_536
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 class CachedTokenizer:
-    """Byte-level BPE that encodes each distinct space-delimited word once.
+    """The library's byte-level BPE, with each distinct space-delimited word encoded once.
 
     The split pattern never joins a space to what stands before it unless that
     is white space too, so a text without white space before a space can be
-    encoded word by word; any other text is encoded as a whole.
+    encoded word by word. Any other text, and any that holds the string of an
+    added token, is encoded as a whole.
     """
 
-    def __init__(self, ranks_path: str | None = None, most: int = CACHE_WORDS):
+    def __init__(self, path: str | None = None, most: int = CACHE_WORDS, ordinary: bool = False):
         import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(ranks_path or public_tokenizers.path(RANKS_FILE), "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self._encode = tiktoken.Encoding(
-            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        self._library = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER_FILE))
+        self._library.encode_special_tokens = ordinary
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._most = most
         self._clear()
 
+    def _encode(self, text: str) -> list[int]:
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
         self._code: dict[str, int] = {}
         self._pool = np.empty(1 << 16, np.uint32)
         self._starts = [0]
 
-    def _add(self, word: str) -> int:
-        ids = self._encode(word)
+    def _add(self, word: str, ids: list[int]) -> int:
         end = self._starts[-1] + len(ids)
         if end > len(self._pool):
             self._pool = np.concatenate((self._pool, np.empty(max(len(self._pool), len(ids)), np.uint32)))
@@ -77,7 +83,8 @@ class CachedTokenizer:
         marks: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
             chunks = text.split(" ")
-            if len(text) > 1 and not any(not c or c[-1].isspace() for c in chunks[:-1]) and chunks[0] != "":
+            split = len(text) > 1 and chunks[0] != "" and not any(not c or c[-1].isspace() for c in chunks[:-1])
+            if split and not any(a in text for a in self._added):
                 marks.append((i, len(words)))
                 words.append(chunks[0])
                 words += [" " + c for c in chunks[1:]]
@@ -86,9 +93,12 @@ class CachedTokenizer:
         get = self._code.get
         codes = [get(w) for w in words]
         if None in codes:
-            for at, code in enumerate(codes):
-                if code is None:
-                    codes[at] = get(words[at]) if words[at] in self._code else self._add(words[at])
+            new = list(dict.fromkeys(w for w, code in zip(words, codes) if code is None))
+            for at in range(0, len(new), 10_000):
+                part = new[at : at + 10_000]
+                for word, made in zip(part, self._library.encode_batch(part, add_special_tokens=False)):
+                    self._add(word, made.ids)
+            codes = [get(w) for w in words]
         starts = np.array(self._starts)
         code = np.array(codes, np.int64)
         first = starts[code] if len(code) else code
@@ -106,19 +116,15 @@ def cuts(total: int, window: int = WINDOW) -> list[int]:
     return [window] * (total // window) + [1 << b for b in range(window.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, ranks_path: str | None = None,
-         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    ``with_ids`` adds the ids themselves (little-endian 32-bit). ``length`` is the
-    bucket. Sequence numbers are unique; no step needs the rows in one place.
-    """
+def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_path: str | None = None,
+           id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, ordinary: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the ids (little-endian 32-bit) if asked for."""
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
     schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer(ranks_path)
+        tokenizer = CachedTokenizer(tokenizer_path, ordinary=ordinary)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for block in blocks(((i, t or "") for i, t in rows), lambda r: len(r[1]), 1_000_000):
@@ -133,12 +139,49 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, ranks_path: str
                 columns = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, _SCHEMA).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    out = rows.mapInArrow(run, _SCHEMA)
+    return out if with_ids else out.drop("ids")
+
+
+def bucketed(made: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """``made`` (pieces) with sequence_id, offset and batch.
+
+    Pieces are dealt out by length; a length's pieces are cut by the task that they come
+    from, so that no bucket has to be in one place, however common its length is. The
+    pieces of such a cut stand together, in order, in batches of one length that hold at
+    most ``batch_tokens`` tokens (one sequence at least). Sequence numbers are unique, and
+    their upper bits are the bucket and the cut."""
+    cut_of = F.spark_partition_id().alias("cut")
+    dealt = made.select("*", cut_of)
+    place = F.row_number().over(Window.partitionBy("length", "cut").orderBy("doc_id", "start", "ids_crc32")) - 1
+    # Six bits for the bucket, 26 for the cut, 31 for the place there.
+    bucket = F.bit_count(F.col("length") - 1).cast("long")
+    base = F.shiftleft(bucket, 57) + F.shiftleft(F.col("cut").cast("long"), 31)
+    numbered = dealt.withColumn("place", place.cast("long"))
+    batch = base + F.floor(F.col("place") * F.col("length") / F.greatest(F.col("length"), F.lit(batch_tokens)))
+    return numbered.withColumns({"sequence_id": base + F.col("place"), "offset": F.lit(0).cast("long"), "batch": batch.cast("long")}).drop("cut", "place")
+
+
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_path: str | None = None,
+         id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, ordinary: bool = False, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, batch.
+
+    ``with_ids`` adds the ids themselves (little-endian 32-bit). ``length`` is the bucket."""
+    out = bucketed(pieces(docs, window, end_id, tokenizer_path, id_col, text_col, with_ids, ordinary), batch_tokens)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "batch"]
     return out.select(*names, *["ids"] * with_ids)
 
 
+def write_buckets(packed: DataFrame, path: str | None = None) -> str:
+    """Write sequences as a table with a folder for each length; returns its path.
+
+    A trainer reads the folder of a length and takes its batches, none of which needs padding."""
+    path = path or fresh_path(packed.sparkSession, "buckets")
+    write_table(packed, path, "length")
+    return path
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: pack all documents."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
