@@ -10,7 +10,9 @@ a component without a blocked member is allowed.
 A URL's identity, as a node, is its host, path and query; scheme and fragment
 play no part. Null URLs, or such without ``://``, have empty host and path and
 are nobody's alias. Repeated rows are judged alike; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are kept, but for host, path, rule and verdict, which are
+replaced. HTML of any length is scanned once; of a tag's repeated attributes the
+first counts. Rules of equal length: the one that sorts last wins.
 """
 
 from __future__ import annotations
@@ -60,18 +62,27 @@ def node(url: Column) -> Column:
     return F.when(rest.isNotNull() & (host(url) != ""), F.concat(host(url), there, query))
 
 
-_TAG = re.compile(r"<(link|meta)\b[^>]*>", re.I | re.S)
+#: One scan from left to right: comments and raw text are passed over, link and meta tags are taken.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(link|meta)\b([^>]*)>", re.I | re.S
+)
 _ATTR = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.S)
 
 
 def declared_links(url: str, html: str) -> Iterator[str]:
-    """Absolute targets of a page's canonical links and refresh redirects."""
+    """Absolute targets of a page's canonical links and refresh redirects.
+
+    Tags inside comments, scripts, styles and other raw text are no tags."""
     for tag in _TAG.finditer(html):
-        attrs = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(tag[0])}
+        if not tag[2]:
+            continue
+        attrs: dict[str, str] = {}
+        for m in _ATTR.finditer(tag[3]):
+            attrs.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
         to = ""
-        if tag[1].lower() == "link" and "canonical" in attrs.get("rel", "").lower().split():
+        if tag[2].lower() == "link" and "canonical" in attrs.get("rel", "").lower().split():
             to = attrs.get("href", "")
-        elif tag[1].lower() == "meta" and attrs.get("http-equiv", "").lower() == "refresh":
+        elif tag[2].lower() == "meta" and attrs.get("http-equiv", "").lower() == "refresh":
             found = re.search(r"url\s*=\s*(.*)", attrs.get("content", ""), re.I | re.S)
             to = found[1].strip().strip("'\"") if found else ""
         if to:
@@ -114,21 +125,25 @@ def judge(pages: DataFrame, links: DataFrame, rules: Sequence[tuple[str, str, st
     spread are as many as the links declared; the pages' side of the join may be
     split where a URL is common.
     """
-    url = F.col(url_col)
     own = _rule(rules, lambda r: r[0])
-    judged = pages.withColumns({"host": host(url), "path": path(url), "_k": F.reverse(node(url))}).withColumns(
-        {"rule": _rule(rules, lambda r: r[1] + r[2]), "_own": own}
+    made = ("host", "path", "rule", "verdict")
+    rest = [c for c in pages.columns if c not in made]
+    given = pages.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)], F.col(f"`{url_col}`").alias("url"))
+    judged = given.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "k": F.reverse(node(F.col("url")))}).withColumns(
+        {"rule": _rule(rules, lambda r: r[1] + r[2]), "own": own}
     )
     members = connected_components(links.select(node(F.col("src")).alias("a"), node(F.col("dst")).alias("b")))
     full = F.concat(F.lit("http://"), F.col("node"))
     blocked = members.withColumns({"host": host(full), "path": path(full)}).where(own == "block").select(F.reverse("label").alias("k")).distinct()
     spread = (
         members.withColumn("k", F.reverse("label")).join(blocked, "k", "left_semi")
-        .select(F.reverse("node").alias("_k"), F.lit(True).alias("_spread"))
+        .select(F.reverse("node").alias("k"), F.lit(True).alias("spread"))
     )
-    judged = judged.withColumn("_k", F.coalesce("_k", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))))
-    verdict = F.coalesce(F.col("_own"), F.when(F.col("_spread"), F.lit("block")), F.lit("allow"))
-    return judged.join(spread, "_k", "left").withColumn("verdict", verdict).drop("_own", "_k", "_spread")
+    # URLs that are no node meet nothing, and must not meet in one task.
+    judged = judged.withColumn("k", F.coalesce("k", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))))
+    verdict = F.coalesce(F.col("own"), F.when(F.col("spread"), F.lit("block")), F.lit("allow"))
+    out = judged.join(spread, "k", "left")
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)], "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
