@@ -6,8 +6,8 @@ Pieces of equal length form a bucket: they are dealt out by length, numbered
 within it, and stand in batches of equal token counts. Each piece is a sequence
 of its own, so no sequence crosses documents and none needs padding.
 
-Ids are those of the ``tokenizers`` library for the whole text, its added tokens
-included; with ``ordinary`` their strings in a text are ordinary text instead.
+Ids are those that the ``tokenizers`` library gives for the whole text, its added
+tokens included; with ``ordinary`` their strings in a text are ordinary text instead.
 Null text is empty text: its one id is the end id. Repeated rows and null ids
 are packed like any other row. An empty table gives no pieces; extra columns,
 whatever their names, are ignored. Texts are tokenized whole; a Python worker
@@ -16,6 +16,7 @@ holds one block of texts at a time.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import fresh_path, write_table
-from .textarrays import blocks
+from .textarrays import blocks, release
 
 WINDOW = 1024
-#: The tokenizer's file.
-TOKENIZER_FILE = "byte_bpe_50k.json"
+#: The tokenizer's file, and the same vocabulary as merge ranks, from which words are encoded several times as fast.
+TOKENIZER_FILE, RANKS_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Distinct words kept per worker; beyond it the cache starts anew.
 CACHE_WORDS = 1_000_000
 #: Tokens of a batch: sequences of one length, as many as fit.
@@ -43,29 +44,32 @@ class CachedTokenizer:
 
     The split pattern never joins a space to what stands before it unless that
     is white space too, so a text without white space before a space can be
-    encoded word by word. Any other text, and any that holds the string of an
-    added token, is encoded as a whole.
+    encoded word by word; any other text is encoded as a whole. A text that holds
+    the string of an added token goes to the library itself, unless ``ordinary``.
     """
 
-    def __init__(self, path: str | None = None, most: int = CACHE_WORDS, ordinary: bool = False):
+    def __init__(self, path: str | None = None, ranks_path: str | None = None, most: int = CACHE_WORDS, ordinary: bool = False):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(ranks_path or public_tokenizers.path(RANKS_FILE), "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self._encode = tiktoken.Encoding(
+            "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
         self._library = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER_FILE))
-        self._library.encode_special_tokens = ordinary
-        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._added = [] if ordinary else [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._most = most
         self._clear()
 
-    def _encode(self, text: str) -> list[int]:
-        return self._library.encode(text, add_special_tokens=False).ids
-
     def _clear(self) -> None:
         self._code: dict[str, int] = {}
         self._pool = np.empty(1 << 16, np.uint32)
         self._starts = [0]
 
-    def _add(self, word: str, ids: list[int]) -> int:
+    def _add(self, word: str) -> int:
+        ids = self._encode(word)
         end = self._starts[-1] + len(ids)
         if end > len(self._pool):
             self._pool = np.concatenate((self._pool, np.empty(max(len(self._pool), len(ids)), np.uint32)))
@@ -83,8 +87,9 @@ class CachedTokenizer:
         marks: list[tuple[int, int]] = []
         for i, text in enumerate(texts):
             chunks = text.split(" ")
-            split = len(text) > 1 and chunks[0] != "" and not any(not c or c[-1].isspace() for c in chunks[:-1])
-            if split and not any(a in text for a in self._added):
+            if any(a in text for a in self._added):
+                out[i] = np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif len(text) > 1 and chunks[0] != "" and not any(not c or c[-1].isspace() for c in chunks[:-1]):
                 marks.append((i, len(words)))
                 words.append(chunks[0])
                 words += [" " + c for c in chunks[1:]]
@@ -93,12 +98,9 @@ class CachedTokenizer:
         get = self._code.get
         codes = [get(w) for w in words]
         if None in codes:
-            new = list(dict.fromkeys(w for w, code in zip(words, codes) if code is None))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for word, made in zip(part, self._library.encode_batch(part, add_special_tokens=False)):
-                    self._add(word, made.ids)
-            codes = [get(w) for w in words]
+            for at, code in enumerate(codes):
+                if code is None:
+                    codes[at] = get(words[at]) if words[at] in self._code else self._add(words[at])
         starts = np.array(self._starts)
         code = np.array(codes, np.int64)
         first = starts[code] if len(code) else code
@@ -116,7 +118,7 @@ def cuts(total: int, window: int = WINDOW) -> list[int]:
     return [window] * (total // window) + [1 << b for b in range(window.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_path: str | None = None,
+def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_path: str | None = None, ranks_path: str | None = None,
            id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, ordinary: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the ids (little-endian 32-bit) if asked for."""
     if window & (window - 1) or window < 1:
@@ -124,7 +126,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_pat
     schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer(tokenizer_path, ordinary=ordinary)
+        tokenizer = CachedTokenizer(tokenizer_path, ranks_path, ordinary=ordinary)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for block in blocks(((i, t or "") for i, t in rows), lambda r: len(r[1]), 1_000_000):
@@ -138,6 +140,8 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_pat
                         at += n
                 columns = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        del tokenizer
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(run, _SCHEMA)
@@ -163,12 +167,12 @@ def bucketed(made: DataFrame, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     return numbered.withColumns({"sequence_id": base + F.col("place"), "offset": F.lit(0).cast("long"), "batch": batch.cast("long")}).drop("cut", "place")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_path: str | None = None,
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_path: str | None = None, ranks_path: str | None = None,
          id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, ordinary: bool = False, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, batch.
 
     ``with_ids`` adds the ids themselves (little-endian 32-bit). ``length`` is the bucket."""
-    out = bucketed(pieces(docs, window, end_id, tokenizer_path, id_col, text_col, with_ids, ordinary), batch_tokens)
+    out = bucketed(pieces(docs, window, end_id, tokenizer_path, ranks_path, id_col, text_col, with_ids, ordinary), batch_tokens)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "batch"]
     return out.select(*names, *["ids"] * with_ids)
 
