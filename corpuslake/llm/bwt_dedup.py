@@ -24,7 +24,8 @@ Text is UTF-8 bytes; null is empty. A kept text may end up cut inside a
 character, so it is bytes. Matches never cross documents. Rows that share a
 doc_id are not smaller than each other. A null doc_id is larger than every
 number. Texts shorter than LENGTH lose nothing; an empty table gives no rows;
-extra columns are ignored.
+extra columns are kept, but for those named like the four that are made. There
+are as many ranges as the texts' bytes ask for.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ from .textarrays import _BYTE, _powers, blocks, mix, release, rows_of
 LENGTH, ANCHOR = 50, 26
 #: Segments, or bytes of segments, that a map task holds before it sends them.
 HELD_SEGMENTS, HELD_BYTES = 500_000, 3_000_000
+#: Bytes of text for each range of anchors.
+RANGE_BYTES = 10_000_000
 #: Bytes of text that are cut into segments at once.
 AT_ONCE = 700_000
 _U = np.uint64
@@ -114,16 +117,17 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
         cell = part * len(doc) + owner
         first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         who, n = owner[first], np.diff(np.append(first, len(cell)))
-        c, s = np.searchsorted(part[first], np.arange(ranges + 1)), np.searchsorted(part, np.arange(ranges + 1))
         low = (anchor & _U(0xFFFFFFFF)).astype("<u4") ^ (anchor >> _U(32)).astype("<u4")
-        full = [f for f in range(ranges) if s[f] < s[f + 1]]
+        full = np.unique(part)
+        of = lambda where: [slice(a, b) for a, b in zip(np.searchsorted(where, full, "left"), np.searchsorted(where, full, "right"))]
+        cells, segments = of(part[first]), of(part)
         return _batch(names, types, (
             full,
-            [doc[who[c[f] : c[f + 1]]].tobytes() for f in full],
-            [version[who[c[f] : c[f + 1]]].tobytes() for f in full],
-            [n[c[f] : c[f + 1]].astype("<u4").tobytes() for f in full],
-            [low[s[f] : s[f + 1]].tobytes() for f in full],
-            [name[s[f] : s[f + 1]].tobytes() for f in full],
+            [doc[who[c]].tobytes() for c in cells],
+            [version[who[c]].tobytes() for c in cells],
+            [n[c].astype("<u4").tobytes() for c in cells],
+            [low[s].tobytes() for s in segments],
+            [name[s].tobytes() for s in segments],
         ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +167,11 @@ def _deal(part: int, doc: np.ndarray, version: np.ndarray, size: np.ndarray, dat
     order = np.argsort(bucket, kind="stable")
     data = data[_slices((np.cumsum(size) - size)[order], size[order])]
     doc, version, size, bucket = doc[order], version[order], size[order], bucket[order]
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
+    full = np.unique(bucket)
+    at = np.append(np.searchsorted(bucket, full), len(bucket))
     ends = np.concatenate(([0], np.cumsum(size)))
-    full = [b for b in range(buckets) if at[b] < at[b + 1]]
-    cut_up = lambda x, ty: [x[at[b] : at[b + 1]].astype(ty).tobytes() for b in full]
-    columns = (full, [part] * len(full), cut_up(doc, "<i8"), cut_up(version, "<i8"), cut_up(size, "<u4"), [data[ends[at[b]] : ends[at[b + 1]]].tobytes() for b in full])
+    cut_up = lambda x, ty: [x[a:b].astype(ty).tobytes() for a, b in zip(at[:-1], at[1:])]
+    columns = (full, [part] * len(full), cut_up(doc, "<i8"), cut_up(version, "<i8"), cut_up(size, "<u4"), [data[ends[a] : ends[b]].tobytes() for a, b in zip(at[:-1], at[1:])])
     types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in _DEALT.split(", ")])
 
@@ -319,11 +323,10 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
                 ids = np.array([_LAST if r[0] is None else r[0] for r in block], np.int64)[s.text[pick]]
                 versions = np.array([r[1] for r in block], np.int64)[s.text[pick]]
                 first = s.first[pick] - s.starts[s.text[pick]]
-                cuts = np.searchsorted(part[pick], np.arange(FINER * ranges + 1))
-                for f in range(FINER * ranges):
-                    a, b = cuts[f], cuts[f + 1]
-                    if a < b:
-                        held.append((f, ids[a:b], versions[a:b], first[a:b], length[a:b], data[end[a] - length[a] : end[b - 1]]))
+                full = np.unique(part[pick])
+                cuts = np.append(np.searchsorted(part[pick], full), len(pick))
+                for f, a, b in zip(full.tolist(), cuts[:-1], cuts[1:]):
+                    held.append((f, ids[a:b], versions[a:b], first[a:b], length[a:b], data[end[a] - length[a] : end[b - 1]]))
                 total += len(data)
                 if total >= HELD_BYTES:
                     yield pack(held)
@@ -396,39 +399,43 @@ def covered(starts: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
-    """``docs`` (all columns) with kept (binary), n_bytes, n_removed and n_spans.
+    """``docs`` (all columns, whatever their names) with kept (binary), n_bytes, n_removed and n_spans.
 
     ``as_text`` gives kept as a string instead, without the bytes of cut characters."""
     spark = docs.sparkSession
     made = ("kept", "n_bytes", "n_removed", "n_spans")
-    docs = docs.drop(*made)
-    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    # A document is named by a number that its id and text give; a null id stands last.
-    key = lambda d: F.xxhash64(F.coalesce(d, F.lit(_LAST)), F.col("version"))
-
-    def gathered(sent: DataFrame, find, name: str) -> DataFrame:
-        """(k, name) of what ``find`` found in each range, one row a document."""
+    rest = [f for f in docs.schema if f.name not in made]
+    given = [f"_{i}" for i in range(len(rest))]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # A document is named by its id and a number that its text gives; a null id stands last.
+    doc, version = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(text).alias("version")
+    slim = docs.select(doc, version, text.alias("text"))
+    size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ranges = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    name = ["doc_id", "version"]
+
+    def gathered(sent: DataFrame, find, what: str) -> DataFrame:
+        """(doc_id, version, what) of what ``find`` found in each range, one row a document."""
         found = sent.groupBy("part").applyInArrow(lambda t: find(t, ranges), _DEALT)
         told = found.groupBy("bucket").applyInArrow(_gather, _MARKS)
-        return cut(told.select(key(F.col("doc_id")).alias("k"), F.col("marks").alias(name)), name)
+        return cut(told.withColumnRenamed("marks", what), what)
 
     marks = gathered(_send_names(slim, ranges), _judge_names, "marks")
     open_marks = marks.where(F.exists("marks", lambda m: F.instr(F.hex(m["data"]), "02") > 0))
-    met = slim.withColumn("k", key(F.col("doc_id"))).join(open_marks, "k").select("doc_id", "version", "text", "marks")
+    met = slim.join(open_marks, name).select("doc_id", "version", "text", "marks")
     starts = gathered(_send_shards(met, ranges), _merge_range, "starts")
-    known = marks.join(starts, "k", "full_outer").select("k", F.struct("marks", "starts").alias("_known"))
-    version = F.xxhash64(text).alias("version")
-    joined = docs.withColumn("version", version).withColumn("k", key(F.col(id_col).cast("long"))).drop("version").join(cut(known, "known"), "k", "left").drop("k")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
-    at = joined.columns.index(text_col)
+    known = marks.join(starts, name, "full_outer").select(*name, F.struct("marks", "starts").alias("_known"))
+    known = cut(known, "known", marks, starts)
+    inner = docs.select(doc, version, *[F.col(f"`{f.name}`").alias(g) for f, g in zip(rest, given)])
+    joined = inner.join(known, name, "left").drop(*name)
+    schema = ", ".join(f"{g} {f.dataType.simpleString()}" for f, g in zip(rest, given)) + f", kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"
+    at = [f.name for f in rest].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain = batch.select([c for c in batch.schema.names if c != "_known"])
+            plain, known = batch.columns[:-1], batch.column(batch.num_columns - 1)
             kept, size, gone, spans = [], [], [], []
-            two = batch.select([batch.schema.names[at], "_known"])
+            two = pa.RecordBatch.from_arrays([plain[at], known], names=["text", "known"])
             for block in blocks(rows_of(two), lambda r: len(r[0] or ""), AT_ONCE):
                 texts = [(t or "").encode() for t, _ in block]
                 some = [i for i, (_, k) in enumerate(block) if k is not None]
@@ -456,10 +463,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if as_text:
                 kept = [k.decode("utf-8", "ignore") for k in kept]
             more = [pa.array(kept, pa.string() if as_text else pa.binary()), *[pa.array(x, pa.int64()) for x in (size, gone, spans)]]
-            yield pa.RecordBatch.from_arrays([*plain.columns, *more], names=[*plain.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*plain, *more], names=[*given, *made])
         release()
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumnsRenamed({g: f.name for g, f in zip(given, rest)})
 
 
 def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ numbers is the global n-gram order; it is cut into fragments of equal range,
 and every set is cut with it. A fragment's task counts the partial overlap of
 each pair that shares a shingle there; summed over fragments, the counts are
 whole overlaps. Equal sets are one node from the start (a node is the digest of
-its set), so copies cost nothing.
+its set), so copies cost nothing. There are as many fragments as the texts' bytes
+ask for, so a fragment's task stays as large as it is while the input grows.
 
 Shingles of more than ``COMMON`` different sets would pair everything with
 everything. They are found where they are counted (a map task drops its own
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import cut
+from .storage import cut, discard
 from .textarrays import blocks, release, rows_of, runs, words
 
 WIDTH = 5
@@ -55,10 +56,12 @@ COMMON = 16
 HELD = 1_200_000
 #: Pairs that a fragment's task makes at once.
 PAIRS_AT_ONCE = 1_000_000
-#: Up to so many ids are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 200_000
+#: Bytes of text for each fragment (their shingles are some three times as many bytes).
+FRAGMENT_BYTES = 10_000_000
 #: Leader rounds go on while pairs across components number more than this times the postings.
 PAIRS_PER_POSTING = 8
+#: Edges that one task may finish while groups are being searched; the result's components never come that way.
+FEW = 200_000
 #: Sets on each side of a cell, in which sets of large groups are compared.
 CELL = 512
 _KEY = 16
@@ -103,31 +106,32 @@ def _send(held: list[tuple[bytes, np.ndarray]], docs: list[tuple], fragments: in
     sent, sent_part = tokens[kept], part[kept]
     hot_part = ((hot >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
     cell_part = cells // max(1, len(held))
-    rows: dict[str, list] = {name: [] for name in ("part", "keys", "counts", "dropped", "tokens", "hot", "docs", "doc_keys")}
-    edges = np.arange(fragments + 1)
-    c, t, h = (np.searchsorted(x, edges) for x in (cell_part, sent_part, hot_part))
-    for f in range(fragments):
+    rows: dict[str, list] = {name: [] for name in ("part", "keys", "counts", "dropped", "tokens", "hot", "docs", "tags", "doc_keys")}
+    full = np.unique(np.append(cell_part, [turn % fragments] if docs else []).astype(np.int64))
+    (c, c_end), (t, t_end), (h, h_end) = (
+        (np.searchsorted(x, full, "left"), np.searchsorted(x, full, "right")) for x in (cell_part, sent_part, hot_part)
+    )
+    for i, f in enumerate(full.tolist()):
         mine = turn % fragments == f
-        if c[f] == c[f + 1] and not (mine and docs):
-            continue
-        who = cells[c[f] : c[f + 1]] % max(1, len(held))
+        own = slice(c[i], c_end[i])
+        who = cells[own] % max(1, len(held))
         rows["part"].append(f)
         rows["keys"].append(keys[who].tobytes() if len(who) else b"")
-        rows["counts"].append((n - dropped)[c[f] : c[f + 1]].astype("<u4").tobytes())
-        rows["dropped"].append(dropped[c[f] : c[f + 1]].astype("<u4").tobytes() if dropped[c[f] : c[f + 1]].any() else b"")
-        rows["tokens"].append(sent[t[f] : t[f + 1]].tobytes())
-        rows["hot"].append(hot[h[f] : h[f + 1]].tobytes())
-        rows["docs"].append([d for d, _ in docs] if mine else [])
-        rows["doc_keys"].append([k for _, k in docs] if mine else [])
-    types = [pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.binary())]
+        rows["counts"].append((n - dropped)[own].astype("<u4").tobytes())
+        rows["dropped"].append(dropped[own].astype("<u4").tobytes() if dropped[own].any() else b"")
+        rows["tokens"].append(sent[t[i] : t_end[i]].tobytes())
+        rows["hot"].append(hot[h[i] : h_end[i]].tobytes())
+        for i, name in enumerate(("docs", "tags", "doc_keys")):
+            rows[name].append([d[i] for d in docs] if mine else [])
+    types = [pa.int32(), *[pa.binary()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
     return pa.RecordBatch.from_arrays([pa.array(v, ty) for v, ty in zip(rows.values(), types)], names=list(rows))
 
 
-_SENT = "part int, keys binary, counts binary, dropped binary, tokens binary, hot binary, docs array<bigint>, doc_keys array<binary>"
+_SENT = "part int, keys binary, counts binary, dropped binary, tokens binary, hot binary, docs array<bigint>, tags array<bigint>, doc_keys array<binary>"
 
 
 def _scatter(docs: DataFrame, fragments: int, width: int, common: int) -> DataFrame:
-    """Packed shingles by fragment, and the (doc_id, node) of every row, of ``docs`` (doc_id, text)."""
+    """Packed shingles by fragment, and the (doc_id, tag, node) of every row, of ``docs`` (doc_id, text, tag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,12 +141,12 @@ def _scatter(docs: DataFrame, fragments: int, width: int, common: int) -> DataFr
         total, turn = 0, TaskContext.get().partitionId()
         for batch in batches:
             for block in blocks(rows_of(batch), lambda r: len(r[1] or "")):
-                for (doc, _), tokens in zip(block, shingle_sets([t for _, t in block], width)):
+                for (doc, _, tag), tokens in zip(block, shingle_sets([t for _, t, _ in block], width)):
                     if not len(tokens):
-                        seen.append((doc, None))
+                        seen.append((doc, tag, None))
                         continue
                     key = node_key(tokens)
-                    seen.append((doc, key))
+                    seen.append((doc, tag, key))
                     if key not in held:
                         held[key] = tokens
                         total += len(tokens)
@@ -189,10 +193,9 @@ def _count_fragment(rows: pa.Table, common: int) -> Iterator[pa.Table]:
         return pa.Table.from_arrays(columns, schema=schema)
 
     join = lambda name: b"".join(x for x in rows.column(name).to_pylist() if x)
-    raw_docs, raw_keys = rows.column("docs").to_pylist(), rows.column("doc_keys").to_pylist()
-    ids, keys = [d for x in raw_docs for d in x or ()], [k for x in raw_keys for k in x or ()]
+    ids, tags, keys = ([v for x in rows.column(name).to_pylist() for v in x or ()] for name in ("docs", "tags", "doc_keys"))
     if ids:
-        yield out(2, keys, None, None, None, ids)
+        yield out(2, keys, None, tags, None, ids)
     key = np.frombuffer(join("keys"), np.uint8).reshape(-1, _KEY)
     if not len(key):
         return
@@ -245,12 +248,13 @@ def _count_fragment(rows: pa.Table, common: int) -> Iterator[pa.Table]:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(node, n, tokens) of the wanted ``nodes``, from one of its rows each."""
-    wanted = rows.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    wanted = cut(wanted, "wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    side = F.broadcast(wanted) if small else wanted.repartition("doc_id")
-    picked = docs.join(side.withColumnRenamed("doc_id", "w"), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
+    """(node, n, tokens) of the wanted ``nodes``, from one of its rows each.
+
+    A node's rows are reduced to one before they meet anything. The ids may be as
+    many as the rows, so they meet the texts by a shuffle, at every size."""
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    wanted = least.join(nodes.select("node"), "node", "left_semi").select(F.col("doc_id").alias("w")).distinct()
+    picked = docs.join(wanted.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
     schema = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +281,11 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(links(overlap, F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    named = edges.select(F.hex("a").alias("a"), F.hex("b").alias("b"))
-    return connected_components(named).select(F.unhex("node").alias("node"), F.unhex("label").alias("label"))
+def _components(edges: DataFrame, few: int = 0) -> DataFrame:
+    found = connected_components(edges.select(F.hex("a").alias("a"), F.hex("b").alias("b")), few=few)
+    out = found.select(F.unhex("node").alias("node"), F.unhex("label").alias("label"))
+    out.scratch_path = found.scratch_path
+    return out
 
 
 def _can_link(na, nb, sa, sb):
@@ -307,9 +313,10 @@ def _prefix_postings(sets: DataFrame) -> DataFrame:
 def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges``, and links enough that every two linked nodes of ``sets`` are connected."""
     postings = cut(_prefix_postings(sets), "postings")
-    total, before = postings.count(), None
+    total, before, labels, open_groups = postings.count(), None, None, None
     while True:
-        labels = cut(_components(edges), "labels")
+        found = _components(edges, FEW)
+        labels = cut(found, "labels", found, *[t for t in (labels, open_groups) if t is not None])
         labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         groups = labelled.groupBy("token", "label").count()
         open_groups = cut(
@@ -336,21 +343,23 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
         pairs = live.select("k", "node", "n", "s", "label").join(leaders, "k").where(fit).select(
             F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
         ).distinct()
-        edges = cut(edges.unionByName(_linked(pairs, sets)).distinct(), "edges")
+        edges = cut(edges.unionByName(_linked(pairs, sets)).distinct(), "edges", edges)
     if not across:
+        discard(postings, labels, open_groups)
         return edges
     name = lambda c: F.hex(c)
     live = cut(
         labelled.withColumn("k", F.reverse(F.col("token").cast("string")))
         .join(open_groups.select(F.reverse(F.col("token").cast("string")).alias("k"), "top"), "k")
-        .select("k", "node", "label", (F.col("label") != F.col("top")).alias("odd")), "live",
+        .select("k", "node", "label", (F.col("label") != F.col("top")).alias("odd")), "live", postings, labels, open_groups,
     )
     # Sets that meet in some group, directly or through others, are a family.
     first = live.groupBy("k").agg(F.min(name("node")).alias("b")).select(F.reverse("k").alias("r"), "b")
     met = live.select(F.reverse("k").alias("r"), name("node").alias("a")).join(first, "r").select("a", "b").distinct()
-    families = connected_components(met).select(F.unhex("node").alias("node"), F.col("label").alias("family"))
+    linked = connected_components(met, few=FEW)
+    families = linked.select(F.unhex("node").alias("node"), F.col("label").alias("family"))
     members = live.groupBy("node").agg(F.first("label").alias("label"), F.max("odd").alias("odd")).join(families, "node")
-    members = cut(members.withColumn("draw", F.pmod(F.xxhash64("node"), F.lit(1 << 20))), "families")
+    members = cut(members.withColumn("draw", F.pmod(F.xxhash64("node"), F.lit(1 << 20))), "families", live, linked)
     blocks_of = lambda n: F.greatest(F.ceil(n / CELL), F.lit(1)).cast("int")
     sizes = members.groupBy("family").agg(blocks_of(F.count("*")).alias("nb"), blocks_of(F.count_if("odd")).alias("no")).withColumnRenamed("family", "f")
     sized = members.withColumn("h", F.reverse("family")).join(sizes.select(F.reverse("f").alias("h"), "nb", "no"), "h").drop("h")
@@ -360,7 +369,7 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
     keyed = lambda df: df.withColumn("h", F.reverse(F.hex("node")))
     cells = keyed(left.unionByName(right)).join(keyed(sets.select("node", "n", "tokens")).drop("node"), "h").drop("h")
     found = cells.groupBy("family", "i", "j").applyInArrow(_compare_cell, "a binary, b binary")
-    return edges.unionByName(found)
+    return cut(edges.unionByName(found), "edges", edges, members)
 
 
 def _compare_cell(rows: pa.Table) -> pa.Table:
@@ -392,14 +401,21 @@ def _compare_cell(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p[0] for p in pick], pa.binary()), pa.array([p[1] for p in pick], pa.binary())], names=["a", "b"])
 
 
-def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text",
+                    tag_col: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+
+    With ``tag_col``, a long that tells rows of one id apart, also tag and component, a
+    name that no other component has (null for an empty set). The result reads scratch
+    tables, which ``storage.discard`` of it deletes."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
+    tag = F.lit(None).cast("long") if tag_col is None else F.col(f"`{tag_col}`").cast("long")
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), tag.alias("tag"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
     sent = _scatter(docs, fragments, width, common)
     mixed = cut(sent.groupBy("part").applyInArrow(lambda t: _count_fragment_table(t, common), _MIXED), "counted")
-    rows = mixed.where("kind = 2").select(F.col("v").alias("doc_id"), F.col("a").alias("node"))
+    rows = mixed.where("kind = 2").select(F.col("v").alias("doc_id"), F.col("na").alias("tag"), F.col("a").alias("node"))
     hot = mixed.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.first("na").alias("n"), F.sum("v").alias("hot"))
     pairs = mixed.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("v").alias("o"))
     h = lambda k: hot.select(F.col("node").alias(k), F.col("hot").alias(f"h{k}"))
@@ -414,21 +430,27 @@ def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, i
         grouped.withColumn("g", F.lit(1)).unionByName(unsure.select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).alias("g")))
         .groupBy("node").agg(F.max("g").alias("g")), "wanted",
     )
+    spent = [scored, wanted]
     if wanted.limit(1).count():
         sets = cut(_sets_of(docs, wanted, rows, width), "sets")
-        edges = cut(edges.unionByName(_linked(unsure, sets)), "edges")
-        members = cut(sets.join(wanted.where("g = 1"), "node", "left_semi"), "members")
+        edges = cut(edges.unionByName(_linked(unsure, sets)), "edges", scored)
+        members = cut(sets.join(wanted.where("g = 1"), "node", "left_semi"), "members", sets)
         edges = _within_groups(members, edges)
+        spent += [members, edges]
     labels = _components(edges)
+    discard(*spent)
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
     nodes = nodes.withColumn("label", F.coalesce("label", "node"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     key = lambda name: F.reverse(F.hex(name))
-    named = nodes.select("node", key("label").alias("k")).join(least.select(key("label").alias("k"), "component_id"), "k")
-    named = named.select(key("node").alias("k"), "component_id", F.conv(F.substring(F.hex("node"), 2 * _KEY - 7, 8), 16, 10).cast("long").alias("n_shingles"))
-    full = rows.where("node is not null").withColumn("k", key("node")).join(named, "k").select("doc_id", "n_shingles", "component_id")
-    empty = rows.where("node is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    named = nodes.select("node", "label", key("label").alias("k")).join(least.select(key("label").alias("k"), "component_id"), "k")
+    named = named.select(key("node").alias("k"), F.col("label").alias("component"), "component_id", F.conv(F.substring(F.hex("node"), 2 * _KEY - 7, 8), 16, 10).cast("long").alias("n_shingles"))
+    full = rows.where("node is not null").withColumn("k", key("node")).join(named, "k")
+    none = {"n_shingles": F.lit(0).cast("long"), "component_id": F.col("doc_id"), "component": F.lit(None).cast("binary")}
+    columns = ["doc_id", "n_shingles", "component_id", *["tag", "component"] * (tag_col is not None)]
+    out = full.select(*columns).unionByName(rows.where("node is null").withColumns(none).select(*columns))
+    out.reads = [mixed, labels]
+    return out
 
 
 def _count_fragment_table(rows: pa.Table, common: int) -> pa.Table:

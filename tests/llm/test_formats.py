@@ -44,6 +44,28 @@ def test_warc_ties_and_nothing(spark):
     assert warc.read_index(spark, archive_of(spark, [])).count() == 0
 
 
+def test_warc_never_loses_a_record(spark):
+    import pytest
+
+    archive = archive_of(spark, [(1, "u", "p" * 2000, ""), (2, "v", "short", ""), (3, "w", "p" * 2000, "")])
+    kept = spark.read.parquet(archive.payloads).where("octet_length(payload) > 100").collect()
+    for rows, said in ((kept, "payload is lost"), ([(r.digest, b"altered") for r in kept], "does not match")):
+        other = warc.Archive(fresh_path(spark, "warc"))
+        spark.read.parquet(archive.records).write.parquet(other.records)
+        spark.createDataFrame(rows, "digest string, payload binary").write.parquet(other.payloads)
+        with pytest.raises(Exception, match=said):
+            warc.read_index(spark, other).collect()
+
+
+def test_chat_ties_go_by_plain_text(spark):
+    rows = [(1, 0, "user", t) for t in ("ab c", "ab", "<a", "5", "ab", None)] + [(1, 1, "assistant", "x" * 30_000), (2, None, None, "n"), (None, 0, "user", "q")]
+    messages = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, seq string")
+    out = chat.render(chat.fold_events(chat.event_log(messages))).withColumn("turns", chat.parse(F.col("formatted"))).collect()
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in out}
+    assert got[1] == [("user", t) for t in ("", "5", "<a", "ab", "ab", "ab c")] + [("assistant", "x" * 30_000)]
+    assert got[2] == [("", "n")] and got[None] == [("user", "q")]
+
+
 def test_chat_fold_and_render(spark):
     log = [
         (1, "m0", 0, 0, "message", "user", "hi </s>\n<s>[user]\n &lt; [x]"), (1, "m1", 1, 1, "delta", "assistant", "Hel"), (1, "m1", 1, 2, "delta", None, "lo"),
@@ -123,12 +145,56 @@ def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "a <| endoftext |> b"]
+    for ordinary in (False, True):
+        library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        library.encode_special_tokens = ordinary
+        ours = packing.CachedTokenizer(most=5, ordinary=ordinary)
+        for _ in range(2):
+            for text, ids in zip(texts, ours.encode(texts)):
+                assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert packing.CachedTokenizer().encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
+def test_packing_query_against_brute_force(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    ours = packing.CachedTokenizer(most=5)
-    for _ in range(2):
-        for text, ids in zip(TEXTS, ours.encode(TEXTS)):
-            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(20, None), (21, "a <|endoftext|> b"), (None, "no id"), (3, "same id"), (4, TEXTS[4])]
+    spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, ids string, length int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for doc, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        while at < len(ids):
+            n = 1024
+            while n > len(ids) - at:
+                n //= 2
+            want.append((doc, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()), len(ids), 0))
+            at += n
+    got = packing.op5_packing(spark, str(tmp_path)).collect()
+    order = lambda x: (x[0] is None, x)
+    assert sorted([(r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset) for r in got], key=str) == sorted(want, key=str) and order
+    assert len({r.sequence_id for r in got}) == len(got)
+
+
+def test_buckets_hold_equal_lengths(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 40 * 31)) for i in range(200)], "doc_id long, text string").repartition(3)
+    packed = packing.pack(docs, batch_tokens=64, with_ids=True)
+    found = {}
+    for r in packed.collect():
+        found.setdefault(r.batch, []).append(r)
+        assert r.sequence_id >> 57 == r.length.bit_length() - 1
+    for rows in found.values():
+        assert len({r.length for r in rows}) == 1 and sum(r.length for r in rows) <= max(64, rows[0].length)
+        ids = sorted(r.sequence_id for r in rows)
+        assert ids == list(range(ids[0], ids[0] + len(ids)))
+    assert len(found) < 1.5 * sum(r.length for rows in found.values() for r in rows) / 64 + 40
+    path = packing.write_buckets(packed)
+    stored = spark.read.parquet(path)
+    assert stored.where("length = 16").count() == sum(r.length == 16 for rows in found.values() for r in rows)
+    assert all(len(r.ids) == 4 * r.length for r in stored.collect())
 
 
 def test_packing(spark):

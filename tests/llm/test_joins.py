@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslake.llm import bwt_dedup, ngram_join
+from corpuslake.llm import bwt_dedup, components, ngram_join
 from corpuslake.llm.components import connected_components
 
 LAST = 2**63 - 1
@@ -56,8 +56,9 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("common,patience", [(2, 8), (2, 10**9), (ngram_join.COMMON, 8)])
-def test_components_match_brute_force(spark, monkeypatch, common, patience):
+@pytest.mark.parametrize("common,patience,fragment", [(2, 8, 500), (2, 10**9, 10**7), (ngram_join.COMMON, 8, 10**7)])
+def test_components_match_brute_force(spark, monkeypatch, common, patience, fragment):
+    monkeypatch.setattr(ngram_join, "FRAGMENT_BYTES", fragment)
     monkeypatch.setattr(ngram_join, "PAIRS_PER_POSTING", patience)
     rows = near_copies()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, part int").repartition(5)
@@ -72,8 +73,9 @@ def test_join_of_nothing(spark):
     assert sorted(map(tuple, ngram_join.link_components(only).collect())) == [(1, 0, 1), (2, 0, 2)]
 
 
-@pytest.mark.parametrize("few", [0, 200_000])
-def test_connected_components(spark, few):
+@pytest.mark.parametrize("held,few", [(3, 0), (500_000, 0), (500_000, 200_000)])
+def test_connected_components(spark, monkeypatch, held, few):
+    monkeypatch.setattr(components, "HELD_EDGES", held)
     draw = random.Random(5)
     edges = [(f"n{draw.randrange(60):02}", f"n{draw.randrange(60):02}") for _ in range(35)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)] + [("n00", None), ("x", "x")]
     df = spark.createDataFrame(edges, "a string, b string")
@@ -82,7 +84,7 @@ def test_connected_components(spark, few):
     for a, b in edges:
         if a and b and a != b:
             parent[find(parent, max(find(parent, a), find(parent, b)))] = min(find(parent, a), find(parent, b))
-    got = {r.node: r.label for r in connected_components(df, few=few).collect()}
+    got = {r.node: r.label for r in connected_components(df.repartition(6), few=few).collect()}
     assert got == {n: find(parent, n) for n in nodes}
     assert connected_components(df.where("false")).count() == 0
 
@@ -107,7 +109,8 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-def test_repeats_match_brute_force(spark):
+@pytest.mark.parametrize("size", [10**7, 2_000])
+def test_repeats_match_brute_force(spark, monkeypatch, size):
     draw = random.Random(5)
     vocab = ["the", "of", "and", "thé", "er", "tion", "abra", "x" * 7, "\n"]
     prose = lambda n: " ".join(draw.choice(vocab) for _ in range(n))
@@ -118,7 +121,8 @@ def test_repeats_match_brute_force(spark):
         rows.append((n, text if draw.random() < 0.8 else draw.choice(rows[:9])[1]))
     rows += rows[20:24]
     draw.shuffle(rows)
-    df = spark.createDataFrame([(*r, b"z") for r in rows], "doc_id long, text string, kept binary").repartition(5)
+    df = spark.createDataFrame([(*r, b"z", 1, 2, 3, 4) for r in rows], "doc_id long, text string, kept binary, version long, k int, _known int, part int").repartition(5)
+    monkeypatch.setattr(bwt_dedup, "RANGE_BYTES", size)
     out = bwt_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     assert sorted((LAST if r[0] is None else r[0], *r[1:]) for r in out.collect()) == brute_repeats(rows)
 

@@ -22,8 +22,6 @@ class PlainPPM:
     """One language's tree, walked byte by byte."""
 
     def __init__(self, texts, size):
-        full = [Counter() for _ in range(0)]
-        del full
         self.counts = [defaultdict(Counter) for _ in range(langid.ORDER + 1)]
         for t in texts:
             raw = b"\n" * langid.ORDER + t
@@ -126,6 +124,26 @@ def test_urls_against_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), made[r.page_id]
 
 
+def test_links_in_comments_and_scripts_are_none():
+    page = """<!-- <link rel=canonical href=/a> --><script>var x = '<link rel="canonical" href="/b">';</script><style><link rel=canonical href=/s></style>
+    <template><meta http-equiv=refresh content="0;url=/t"></template><link rel=canonical href=/c href=/z><textarea><link rel=canonical href=/d></textarea><!-- never closed <link rel=canonical href=/e>"""
+    assert list(urls.declared_links("http://x.org/", page)) == ["http://x.org/c"]
+
+
+def test_url_query_with_links(spark, tmp_path):
+    """The query over pages that declare links: blocks reach aliases, allowed ones stay."""
+    canonical = lambda to: f'<html><head><link rel="canonical" href="{to}"></head></html>'
+    rows = [(1, "http://good.io/a", canonical("http://bad.net/x")), (2, "http://good.io/b", "<!-- " + canonical("http://bad.net/x") + " -->"), (3, "http://example.net/en/q", canonical("http://bad.net/x")),
+            (4, "https://good.io/a#f", None), (5, None, None), (6, "http://c.io/1", canonical("/2")), (7, "http://c.io/2", '<meta http-equiv=refresh content="0;url=http://good.io/a">'), (7, "http://c.io/2", ""), (8, "http://d.io/", "x" * 400_000)]
+    spark.createDataFrame([(*r, "k", "o") for r in rows], "page_id long, url string, html string, k string, own string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in urls.op7_urls(spark, str(tmp_path)).collect())
+    assert got == [(1, None, "block"), (2, None, "allow"), (3, "example.net/en/", "allow"), (4, None, "block"), (5, None, "allow"), (6, None, "block"), (7, None, "block"), (7, None, "block"), (8, None, "allow")]
+    clash = spark.createDataFrame([("http://a.net/", 1, 2, 3, 4, "p")], "url string, k int, own int, spread int, _0 int, path string")
+    none = spark.createDataFrame([], "src string, dst string")
+    assert tuple(urls.judge(clash, none).first()) == ("http://a.net/", 1, 2, 3, 4, "a.net", "/", "net/", "block")
+    assert urls.judge(clash.where("false"), none).count() == 0
+
+
 def test_links_of_pages(spark):
     html = '<link rel="canonical" href="../b?x=1&amp;y=2"><META http-equiv=Refresh content="3; URL=\'//q.net/z\'"><link rel=stylesheet href=s>'
     pages = spark.createDataFrame([("http://a.com/d/e", html), ("http://b.com", None), (None, html), ("http://c.com", "<p>canonical</p>")], "url string, html string")
@@ -149,10 +167,28 @@ def test_topk_matches_brute_force(spark, shard, block):
         assert sorted(got[qid]) == [(k + 1, s, i) for k, (s, i) in enumerate(best)]
     assert set(got) == {0, 50, 100, 150}
     assert topk.search(q.where("false"), q.where("false")).count() == 0
+    other = topk.quantise(spark.createDataFrame([(i, [float(i)] * n) for i, n in ((0, 8), (1, 3), (2, 3), (50, 3), (3, 8))], "vec_id long, embedding array<double>"))
+    met = {(r.query_id, r.vec_id) for r in topk.search(other, other.where("id % 50 = 0"), 5, shard, block).collect()}
+    assert met == {(0, 3), (50, 1), (50, 2)}
     few = q.where("id in (0, 1, 2)")
     assert topk.search(few, few.where("id = 0")).count() == 2
 
 
+@pytest.mark.parametrize("size", [1e3, 1e7, 1e9, 1e17, 1e30])
+def test_topk_of_large_components_is_exact(spark, size):
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.normal(size=6) * size]) for i in range(60)]
+    q = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    hold = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {i: [hold(math.floor(256 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in topk.search(q, q.where("id % 20 = 0"), 5, 13, 2, 16).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for i in (0, 20, 40):
+        best = sorted((-hold(sum(a * b for a, b in zip(whole[i], w))), j) for j, w in whole.items() if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 BENCH = [(1, "The quick brown fox jumps over the lazy dog while seven wizards make toxic brew. Later on, the tired fox sleeps under an old oak tree."), (2, "too short"), (3, None), (None, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six seven eight nine ten")]
 
 
@@ -176,10 +212,50 @@ def test_leaks(spark):
 def test_small_benchmark_blocks_give_the_same(spark, monkeypatch):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     docs = spark.createDataFrame([(1, BENCH[0][1] + BENCH[4][1])], "doc_id long, text string")
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(decontam, "ITEMS_BYTES", 1)
     assert decontam.find_leaks(docs, bench).first().leaked_items == [1, 5]
 
 
+def test_large_benchmarks_are_joined(spark, monkeypatch):
+    draw = random.Random(9)
+    prose = lambda n: " ".join(draw.choice("a b c dd ee ff gg hh ii jj kk ll mm nn oo pp".split()) for _ in range(n))
+    items = [(i if i % 7 else None, prose(draw.randrange(3, 30))) for i in range(40)] + [(3, "a " * 30), (50, None)]
+    texts = [prose(draw.randrange(0, 60)) + " " + draw.choice(items)[1][: draw.randrange(10, 99)] for _ in range(30) if (items := items[:41])] + [None, "", "a " * 200]
+    rows = [(i, t, "c") for i, t in enumerate(texts)] + [(None, texts[0], "c"), (1, texts[1], "c")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, k string"), spark.createDataFrame(items, "item_id long, text string")
+    told = lambda: sorted((str(r.doc_id), str(r.text), r.k, r.contaminated, round(r.coverage, 9), r.leaked_items) for r in decontam.find_leaks(docs, bench).collect())
+    small = told()
+    monkeypatch.setattr(decontam, "ITEMS_BYTES", 1)
+    assert told() == small and any(r[3] for r in small)
+    assert decontam.find_leaks(docs.where("false"), bench).count() == 0
+
+
+def test_repetitive_texts_take_linear_time():
+    import time
+
+    items = decontam.Items([(1, "x " * 800), (2, "y " * 10)])
+    decontam.coverages(["warm up"], items)
+    for n in (4_000, 40_000):
+        began = time.perf_counter()
+        assert decontam.coverages(["x " * n], items) == [[(0, 1.0)]]
+        assert time.perf_counter() - began < 0.1 * n / 4000
+
+
+def test_leaks_query_against_brute_force(spark, tmp_path):
+    """Every word sequence of an item against every document, tiled by definition."""
+    draw = random.Random(12)
+    word = lambda: draw.choice("red green blue one two three four".split())
+    items = [(i, " ".join(word() for _ in range(draw.randint(5, 14)))) for i in range(8)]
+    rows = [(i, " ".join([word() for _ in range(draw.randint(0, 12))] + items[draw.randrange(8)][1].upper().split()[: draw.randint(0, 14)])) for i in range(40)] + [(40, None), (41, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.contaminated, r.coverage, r.leaked_items) for r in decontam.op10_decontam(spark, str(tmp_path)).collect()}
+    for doc, text in rows:
+        covered = {i: sum(k for _, _, k in plain_tiles(item.split(), (text or "").lower().split(), 5)) / len(item.split()) for i, item in items}
+        leaked = sorted(i for i, c in covered.items() if c >= 0.5)
+        assert got[doc][0] == bool(leaked) and got[doc][2] == leaked and abs(got[doc][1] - max(covered.values())) < 1e-12
+
+
 def plain_tiles(a, b, least):
     """Greedy string tiling by its definition."""
     free_a, free_b, out = [True] * len(a), [True] * len(b), []
@@ -207,3 +283,4 @@ def test_tiling_matches_its_definition():
         b = np.array([draw.randrange(3) for _ in range(draw.randint(5, 40))])
         pairs = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()]
         assert decontam.tile(a, b, pairs, 3) == plain_tiles(a.tolist(), b.tolist(), 3)
+        assert decontam.tile_passes(a, b, 3) == plain_tiles(a.tolist(), b.tolist(), 3)

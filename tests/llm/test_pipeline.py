@@ -57,6 +57,23 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         assert stage(spark, docs.where("false"), sf_dir[0]).count() == 0
 
 
+def test_stages_take_odd_tables(spark, sf_dir, tmp_path):
+    """Nulls everywhere, very long texts, ties, repeated rows, columns with clashing names, and an empty benchmark."""
+    draw = random.Random(3)
+    long = prose(draw, 60_000)
+    rows = [(1, long, "en", None, None), (1, long, None, "s", 1), (None, None, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, prose(draw, 30), "en", "s", 9), (4, "déjà vu " * 40, "fr", "s", 9)]
+    clash = ("_row", "version", "k", "_known", "kept", "contaminated", "coverage", "component_id", "lang_pred", "ids")
+    docs = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in clash))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {name: stage(spark, docs, str(tmp_path)).collect() for name, stage in P.STAGES}
+    ids = {name: sorted((-1 if r.doc_id is None else r.doc_id) for r in got) for name, got in out.items()}
+    assert set(ids["language_id"]) <= {1, 3, 4} and {1, 3} <= set(ids["language_id"])
+    assert ids["near_duplicates"] == [-1, -1, 1, 2, 3, 4]
+    assert ids["repeated_passages"] == ids["decontaminate"] == [-1, -1, 1, 1, 2, 3, 4]
+    assert {(r.doc_id, r.text) for r in out["repeated_passages"]} >= {(1, long), (None, None), (2, "")}
+    assert sorted(set(ids["packing"])) == [-1, 1, 2, 3, 4]
+
+
 def test_names():
     names = __spark_entry__.queries()
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] and "pipeline" in names
