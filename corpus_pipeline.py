@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage reads what the one before it wrote. The first four return the columns
-of ``documents``; the last returns packed pieces. Null ids, null or empty texts
-and repeated rows pass through as the operators define.
+of ``documents``; the last returns packed pieces. Null ids, null or empty texts,
+very long texts, ties and repeated rows pass through as each stage says; an empty
+table passes all stages as one; extra columns, whatever their names, go.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no letter, or no language likelier than the rest."""
+    """Drops documents without a language: no letter (null and empty texts too), or no language likelier than the rest.
+
+    Repeated rows are judged alike; with no labelled row nothing is known, and all go. Texts of any length are scored whole."""
     trees = train(docs.select("doc_id", "lang", "text"))
     return predict(docs, trees).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -31,18 +34,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near copies the document with the smallest id.
 
-    Rows are told apart by their place in the table, so that repeated ids do no harm.
-    The places are written, since each job that plans the scan anew may number otherwise."""
-    placed = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "placed")
-    found = link_components(placed, id_col="_row").withColumnRenamed("doc_id", "_row")
-    ids = placed.select("_row", "doc_id")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("_row").alias("r")))["r"].alias("_row")
-    kept = cut(found.join(ids, "_row").groupBy("component_id").agg(first).select("_row"), "kept")
-    return placed.join(kept, "_row", "left_semi").select(*COLUMNS)
+    A null id is larger than every number. Rows that tie have one id: of different texts the one with the smaller
+    hash stays, of equal texts any. Texts without words are copies of nothing, and all stay. Texts of any length are
+    compared whole.
+
+    A row is told from others by its id and a hash of its text, which any scan gives alike, so no number has to hold
+    from job to job and no copy of the texts is kept. Equal rows become one in their own task, before the shuffle."""
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    docs = docs.select(*COLUMNS).withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "tag": F.xxhash64("text")})
+    found = link_components(docs, id_col="d", tag_col="tag")
+    least = F.min(F.struct(F.col("doc_id").alias("d"), "tag")).alias("least")
+    kept = cut(found.where("component is not null").groupBy("component").agg(least).select("least.*"), "kept", found)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    each = docs.where(~wordless).groupBy("d", "tag").agg(F.first(F.struct("doc_id", *rest)).alias("row"))
+    # The kept ids are as many as the documents, so texts meet them by a shuffle at every size.
+    copied = each.join(kept.hint("shuffle_merge"), ["d", "tag"], "left_semi").select("row.*")
+    return copied.unionByName(docs.where(wordless).select("doc_id", *rest)).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a document with a smaller id has; n_chars follows."""
+    """Cuts passages that a document with a smaller id has; n_chars follows.
+
+    A null id is larger than every number; rows of one id are not smaller than each other, so repeated rows all stay
+    as they are. Null texts stay null; a text may end up empty; texts of any length are read whole."""
     out = remove_repeats(docs.select(*COLUMNS), as_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
@@ -50,13 +64,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts are clean, repeated rows are judged alike, texts of any length are read whole; an empty
+    benchmark drops nothing."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs.select(*COLUMNS), benchmark).where("not contaminated").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left."""
+    """Packs what is left: null and empty texts as their end id, repeated rows each by itself, texts of any length whole."""
     return pack(docs)
 
 
@@ -73,7 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), name, docs)
     return docs
 
 
