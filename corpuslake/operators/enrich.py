@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import CHUNK_TAG
 
-#: text -> (relevant, confidence); an exception keeps the chunk.
-Classifier = Callable[[str], "tuple[bool, float | None]"]
+#: (text, prompt) -> (relevant, confidence), or the text alone if it takes one argument; an exception keeps the chunk.
+Classifier = Callable[..., "tuple[bool, float | None]"]
 #: texts -> a vector or None for each.
 Embedder = Callable[[Sequence[str]], "Sequence[Sequence[float] | None]"]
 
@@ -21,19 +22,32 @@ def verdict(relevant: Column, confidence: Column, threshold: float, failed: Colu
     return kept if failed is None else F.coalesce(failed, F.lit(False)) | kept
 
 
+def _asked(classifier: Classifier, prompt: str) -> Callable[[str], "tuple[bool, float | None]"]:
+    """The classifier with its prompt; one that has a single parameter judges the text alone."""
+    try:
+        known = inspect.signature(classifier).parameters.values()
+    except (TypeError, ValueError):
+        return lambda text: classifier(text, prompt)
+    takes = sum(p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in known)
+    if takes >= 2 or any(p.kind == p.VAR_POSITIONAL for p in known):
+        return lambda text: classifier(text, prompt)
+    return classifier
+
+
 def filter_chunks(chunks: DataFrame, classifier: Classifier | None, prompt: str | None, threshold: float = 0.5, enabled: bool = True) -> DataFrame:
-    """Chunks that the classifier keeps; each distinct hash is judged once.
+    """Chunks that the classifier keeps, asked with ``prompt``; each distinct hash is judged once.
 
     All pass if filtering is off, the prompt is blank, or there is no classifier."""
     if not enabled or classifier is None or not (prompt or "").strip():
         return chunks
 
     def run(frames):
+        judge = _asked(classifier, prompt)
         for frame in frames:
             rows = []
             for key, text in zip(frame["content_hash"], frame["content"]):
                 try:
-                    relevant, confidence = classifier(text)
+                    relevant, confidence = judge(text)
                     rows.append((key, relevant is True and float(confidence or 0.0) >= threshold))
                 except Exception:  # fail open
                     rows.append((key, True))
@@ -59,18 +73,28 @@ def attach_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def embed(chunks: DataFrame, embedder: Embedder | None, batch: int = 64) -> DataFrame:
-    """``chunks`` (with exists) with ``embedding``: each new hash embedded once, failures null."""
+    """``chunks`` (with exists) with ``embedding``: each new hash embedded once.
+
+    Where a batch fails, its texts are embedded one by one, and those that fail then have null."""
     if embedder is None:
         return chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
 
+    def attempt(texts):
+        """A vector or None for each text; None if the call fails or gives another number of them."""
+        try:
+            vectors = list(embedder(texts))
+            return vectors if len(vectors) == len(texts) else None
+        except Exception:  # chunks are written without vectors
+            return None
+
     def run(frames):
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                try:
-                    vectors = list(embedder(part["content"].tolist()))
-                except Exception:  # chunks are written without vectors
-                    vectors = [None] * len(part)
+                texts = part["content"].tolist()
+                vectors = attempt(texts)
+                if vectors is None:
+                    vectors = [None if (one := attempt([t]) if len(texts) > 1 else None) is None else one[0] for t in texts]
                 vectors = [list(map(float, v)) if v is not None and len(v) else None for v in vectors]
                 yield type(frame)({"content_hash": part["content_hash"].tolist(), "embedding": vectors})
 

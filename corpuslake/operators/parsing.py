@@ -4,62 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_DEPTHS = range(1, 7)
-
-
-def markdown_lines(files: DataFrame) -> DataFrame:
-    """path, pos, line (with its line end), level, title, section number and ancestor path at each line.
-
-    A file's lines are one window: per depth the last heading's place and title so
-    far. A depth is on the stack iff its last heading comes after the last heading
-    of every lesser depth.
-    """
-    lines = (
-        files.select("path", F.posexplode(F.split("content", "(?<=\\n)", -1)).alias("pos", "line"))
-        .where("line != ''")
-        .withColumn("level", T.heading_level(F.col("line")))
-        .withColumn("title", F.when(F.col("level") > 0, T.heading_title(F.col("line"))))
-    )
-    sofar = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda d, what: F.last(F.when(F.col("level") == d, F.col(what)), ignorenulls=True).over(sofar)
-    lines = lines.withColumns(
-        {"section_ord": F.sum((F.col("level") > 0).cast("int")).over(sofar).cast("int")}
-        | {f"p{d}": last(d, "pos") for d in _DEPTHS} | {f"t{d}": last(d, "title") for d in _DEPTHS}
-    )
-    above = F.lit(-1)
-    kept = []
-    for d in _DEPTHS:
-        kept.append(F.when(F.col(f"p{d}") > above, F.col(f"t{d}")))
-        above = F.greatest(above, F.coalesce(f"p{d}", F.lit(-1)))
-    return lines.select("path", "pos", "line", "level", "title", "section_ord", F.array_compact(F.array(*kept)).alias("section_path"))
+def _outlined(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) with lines (with their line ends) and heads, one struct for each heading
+    line: pos, level, title and the titles on the stack from there on.
+
+    All of a file lies in its own row, so nothing is shuffled: a fold over the headings keeps
+    one title for each depth, and a heading clears what is deeper."""
+    lines = files.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn(
+        "lines", F.filter(F.split("content", "(?<=\\n)", -1), lambda x: x != ""))
+    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), T.heading_level(x).alias("level"), x.alias("line"))), lambda h: h["level"] > 0)
+    lines = lines.select("path", "content", "lines", F.transform(found, lambda h: F.struct(h["pos"].alias("pos"), h["level"].alias("level"), T.heading_title(h["line"]).alias("title"))).alias("found"))
+    stack = ", ".join(f"if(h.level = {d}, h.title, if(h.level < {d}, null, s.t{d})) AS t{d}" for d in range(1, 7))
+    empty = ", ".join(f"cast(null AS string) AS t{d}" for d in range(1, 7))
+    kind = "array<struct<" + ",".join(f"t{d}:string" for d in range(1, 7)) + ">>"
+    folded = f"""
+      aggregate(found, struct({empty}, cast(array() AS {kind}) AS out),
+        (s, h) -> named_struct({", ".join(f"'t{d}', if(h.level = {d}, h.title, if(h.level < {d}, null, s.t{d}))" for d in range(1, 7))},
+          'out', array_append(s.out, struct({stack}))),
+        s -> s.out)"""
+    lines = lines.withColumn("stacks", F.expr(folded))
+    heads = F.transform("found", lambda h, i: F.struct(
+        h["pos"].alias("pos"), h["level"].alias("level"), h["title"].alias("title"),
+        F.array_compact(F.array(*[F.get(F.col("stacks"), i)[f"t{d}"] for d in range(1, 7)])).alias("path")))
+    return lines.select("path", "content", "lines", heads.alias("heads"))
+
+
+def markdown_headings(files: DataFrame) -> DataFrame:
+    """path, pos (of the line), level, title and section_path of every heading of files (path, content)."""
+    return _outlined(files).select("path", F.explode("heads").alias("h")).select("path", "h.pos", "h.level", "h.title", F.col("h.path").alias("section_path"))
 
 
 def parse_markdown(files: DataFrame) -> DataFrame:
     """Sections (source_file, section_ord, heading, section_path, content) of files (path, content).
 
     Sections without content are left out; a file without any has one, of its whole text.
-    """
-    files = files.select("path", F.coalesce("content", F.lit("")).alias("content"))
-    lines = markdown_lines(files)
-    body = F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "line"))))
-    head = F.max(F.when(F.col("level") > 0, F.struct("title", "section_path")))
-    grouped = lines.groupBy("path", "section_ord").agg(body.alias("body"), head.alias("head"))
-    sections = grouped.select(
-        F.col("path").alias("source_file"), "section_ord",
-        F.coalesce("head.title", T.stem(F.col("path"))).alias("heading"),
-        F.coalesce("head.section_path", F.array().cast("array<string>")).alias("section_path"),
-        T.strip(F.array_join(F.transform("body", lambda x: x["line"]), "")).alias("content"),
-    ).where("content != ''")
-    bare = files.join(sections.select(F.col("source_file").alias("path")), "path", "left_anti").select(
-        F.col("path").alias("source_file"), F.lit(0).alias("section_ord"), T.stem(F.col("path")).alias("heading"),
-        F.array().cast("array<string>").alias("section_path"), T.strip(F.col("content")).alias("content"),
-    )
-    return sections.unionByName(bare)
+    A file's sections are made of its own row, in one pass."""
+    outlined = _outlined(files).withColumn("stem", T.stem(F.col("path")))
+    last = F.size("heads")
+    head = lambda j: F.get(F.col("heads"), j - 1)
+
+    def section(j):
+        start = F.when(j > 0, head(j)["pos"] + 1).otherwise(0)
+        end = F.coalesce(F.get(F.col("heads"), j)["pos"], F.size("lines"))
+        return F.struct(
+            j.cast("int").alias("section_ord"), F.when(j > 0, head(j)["title"]).otherwise(F.col("stem")).alias("heading"),
+            F.coalesce(F.when(j > 0, head(j)["path"]), F.array().cast("array<string>")).alias("section_path"),
+            T.strip(F.array_join(F.slice(F.col("lines"), start + 1, end - start), "")).alias("content"))
+
+    whole = F.array(F.struct(F.lit(0).alias("section_ord"), F.col("stem").alias("heading"), F.array().cast("array<string>").alias("section_path"), T.strip(F.col("content")).alias("content")))
+    made = outlined.select("path", "content", "stem", F.filter(F.transform(F.sequence(F.lit(0), last), section), lambda x: x["content"] != "").alias("made"))
+    some = F.when(F.size("made") > 0, F.col("made")).otherwise(whole)
+    return made.select(F.col("path").alias("source_file"), F.explode(some).alias("x")).select("source_file", "x.*")
 
 
 def parse_text(files: DataFrame) -> DataFrame:

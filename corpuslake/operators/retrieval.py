@@ -13,6 +13,10 @@ from ..schemas import CHUNK_TAG
 _JSON_CONTEXT = "source_file string, heading string, section_path array<string>, chunk_index int, token_count int, retired boolean"
 
 
+#: Columns of an entry that a neighbour's row has besides its place and content.
+CARRIED = ("content_type", "confidence", "tags", "source_agent", "knowledge_domain", "status")
+
+
 def cosine_distance(vector: Column, query: Sequence[float]) -> Column:
     """1 - cosine, in doubles; null for null, empty, zero or unequally long vectors."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -75,24 +79,27 @@ def dedupe_key(id_: Column, hash_: Column, source_file: Column, chunk_index: Col
 def neighbors(hits: DataFrame, entries: DataFrame, radius: int = 1) -> DataFrame:
     """Every hit's window: chunks of its file within ``radius``, and the hit itself if it is not among them.
 
-    ``hits``: rank, id, content, content_hash, distance, source_file, chunk_index.
-    Returns hit_rank, id, content, content_hash, source_file, chunk_index, distance.
+    ``hits``: rank, id, content, content_hash, distance, source_file, chunk_index, and of ``CARRIED`` what they have.
+    Returns hit_rank, id, content, content_hash, source_file, chunk_index, heading, distance and ``CARRIED``.
     A stored row takes the hit's place and has no distance. Windows span sections
     and include archived chunks. Hits are few (top-k), so Spark broadcasts them
     when their size allows and shuffles both sides by file when not.
     """
+    place = ("source_file", "chunk_index", "heading")
     stored = entries.where(F.col("content_type") == CHUNK_TAG).select(
-        "id", "content", "content_hash", F.col("context.source_file").alias("source_file"), F.col("context.chunk_index").alias("chunk_index")
+        "id", "content", "content_hash", *CARRIED, *[F.col(f"context.{n}").alias(n) for n in place]
     )
     asked = hits.where("source_file is not null and chunk_index is not null").select(
         F.col("rank").alias("hit_rank"), F.col("source_file").alias("_file"), F.col("chunk_index").alias("_at")
     )
     near = F.col("chunk_index").between(F.col("_at") - radius, F.col("_at") + radius)
     window = stored.join(asked, (F.col("source_file") == F.col("_file")) & near).select(
-        "hit_rank", "id", "content", "content_hash", "source_file", "chunk_index", F.lit(None).cast("double").alias("distance")
+        "hit_rank", "id", "content", "content_hash", *place, *CARRIED, F.lit(None).cast("double").alias("distance")
     )
     key = dedupe_key(F.col("id"), F.col("content_hash"), F.col("source_file"), F.col("chunk_index"), F.col("content"))
-    own = hits.select(F.col("rank").alias("hit_rank"), "id", "content", "content_hash", "source_file", "chunk_index", "distance").withColumn("_key", key)
+    kinds = {f.name: f.dataType for f in stored.schema}
+    given = lambda n: F.col(n) if n in hits.columns else F.lit(None).cast(kinds[n]).alias(n)
+    own = hits.select(F.col("rank").alias("hit_rank"), "id", "content", "content_hash", *map(given, place), *map(given, CARRIED), "distance").withColumn("_key", key)
     alone = own.join(window.select("hit_rank", key.alias("_key")), ["hit_rank", "_key"], "left_anti").drop("_key")
     return window.unionByName(alone)
 

@@ -60,7 +60,7 @@ def heading_level(spark: S, sf: str) -> DataFrame:
 
 
 def section_path(spark: S, sf: str) -> DataFrame:
-    lines = parsing.markdown_lines(X.markdown(spark, sf)).where("level > 0")
+    lines = parsing.markdown_headings(X.markdown(spark, sf))
     return lines.select("path", "pos", "level", F.md5("title").alias("title_md5"), F.md5(_joined("section_path")).alias("path_md5"))
 
 
@@ -142,19 +142,18 @@ def _numbered(spark: S, sf: str) -> DataFrame:
     """Chunks of whole documents, with the order of their files and the store's knowledge of them."""
     made = chunking.chunk(X.plain_sections(spark, sf))
     store = R.live(X.entries(spark, sf)).select("content_hash")
-    hashed = made.withColumns({"content_hash": F.md5("content"), "file_seq": F.col("source_file")})
-    return enrich.seen_earlier(enrich.mark_existing(hashed, store))
+    return enrich.seen_earlier(enrich.mark_existing(made.withColumn("file_seq", F.col("source_file")), store))
 
 
 def exists_map(spark: S, sf: str) -> DataFrame:
-    made = chunking.chunk(X.plain_sections(spark, sf)).withColumn("content_hash", F.md5("content"))
+    made = chunking.chunk(X.plain_sections(spark, sf))
     store = R.live(X.entries(spark, sf)).select("content_hash")
     return enrich.mark_existing(made, store).select("source_file", "chunk_index", "content_hash", "exists")
 
 
 def embed_attach(spark: S, sf: str) -> DataFrame:
     vectors = X.entries(spark, sf).select("content_hash", F.col("id").alias("ord"), "embedding")
-    made = chunking.chunk(X.plain_sections(spark, sf)).withColumn("content_hash", F.md5("content"))
+    made = chunking.chunk(X.plain_sections(spark, sf))
     got = enrich.attach_embeddings(made, vectors)
     return got.select("source_file", "chunk_index", F.round(F.element_at(F.col("embedding"), 1).cast("double"), 6).alias("first_component"))
 

@@ -67,11 +67,13 @@ def plain_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk store, one row per document."""
+    """The chunk store, one row per document; every vector and every user's events are some entry's."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("seen"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    j = d.join(seen, F.col("doc_id") % 200 == F.col("user_id"), "left").join(vectors, F.col("doc_id") % 500 == F.col("vec_id"), "left")
+    users = table(spark, sf_dir, "events").agg(F.max("user_id") + 1).first()[0]
+    stored = table(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    j = d.join(seen, F.col("doc_id") % users == F.col("user_id"), "left").join(vectors, F.col("doc_id") % stored == F.col("vec_id"), "left")
     i = F.col("doc_id")
     file = F.when(i % 43 != 0, F.concat(F.lit("/corpus/"), "source", F.lit(".md")))
     heading = F.concat(F.lit("h"), (i % 7).cast("string"))
@@ -81,7 +83,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.ceil(F.length("text") / 4).cast("int").alias("token_count"), F.lit(None).cast("boolean").alias("retired"))
     return j.select(
         i.alias("id"), F.col("text").alias("content"), F.when(i % 37 == 0, "observation").otherwise("document_chunk").alias("content_type"),
-        F.md5("text").alias("content_hash"), F.when(i % 17 != 0, (i % 100) / F.lit(100.0)).alias("confidence"), tags.alias("tags"),
+        T.content_hash(F.col("text")).alias("content_hash"), F.when(i % 17 != 0, (i % 100) / F.lit(100.0)).alias("confidence"), tags.alias("tags"),
         F.when(i % 10 == 0, "archived").when(i % 10 == 1, None).when(i % 10 < 5, "candidate").otherwise("confirmed").alias("status"),
         F.when(i % 19 != 0, F.coalesce("seen", F.lit(0))).alias("access_count"), F.when(i % 7 != 0, F.col("embedding")).alias("embedding"),
         F.lit("agent").alias("source_agent"), F.lit("docs").alias("knowledge_domain"), context.alias("context"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+#: The content hash of a text.
+_HASH = r"md5(regexp_replace(lower(trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 #: Views in terms of the driver's tables; the same as ``fixtures``.
 VIEWS = {
     "v_files": """
@@ -36,9 +38,9 @@ VIEWS = {
     "v_plain_chunks": """
       SELECT source_file, doc_id, i::INT AS chunk_index, substr(content, i * 2048 + 1, 2048) AS content
       FROM (SELECT *, unnest(range(greatest(ceil(length(content) / 2048)::INT, 0))) AS i FROM v_plain WHERE length(content) > 0)""",
-    "v_entries": """
+    "v_entries": f"""
       SELECT d.doc_id AS id, d.text AS content, CASE WHEN d.doc_id % 37 = 0 THEN 'observation' ELSE 'document_chunk' END AS content_type,
-        md5(d.text) AS content_hash, CASE WHEN d.doc_id % 17 <> 0 THEN (d.doc_id % 100) / 100.0::DOUBLE END AS confidence,
+        {_HASH.format('d.text')} AS content_hash, CASE WHEN d.doc_id % 17 <> 0 THEN (d.doc_id % 100) / 100.0::DOUBLE END AS confidence,
         CASE WHEN d.doc_id % 41 = 0 THEN NULL ELSE d.doc_id % 13 <> 0 END AS tagged,
         CASE d.doc_id % 10 WHEN 0 THEN 'archived' WHEN 1 THEN NULL WHEN 2 THEN 'candidate' WHEN 3 THEN 'candidate' WHEN 4 THEN 'candidate' ELSE 'confirmed' END AS status,
         CASE WHEN d.doc_id % 19 <> 0 THEN coalesce(v.seen, 0) END AS access_count,
@@ -46,8 +48,8 @@ VIEWS = {
         CASE WHEN d.doc_id % 43 <> 0 THEN '/corpus/' || d.source || '.md' END AS source_file, 'h' || (d.doc_id % 7) AS heading,
         CASE WHEN d.doc_id % 11 = 0 THEN 0 ELSE d.doc_id // 20 END::INT AS chunk_index,
         TIMESTAMP '2024-01-01 00:00:00' + to_hours(d.doc_id) AS created_at
-      FROM documents d LEFT JOIN (SELECT user_id, count(*) AS seen FROM events GROUP BY 1) v ON v.user_id = d.doc_id % 200
-      LEFT JOIN (SELECT vec_id, embedding FROM embeddings) e ON e.vec_id = d.doc_id % 500""",
+      FROM documents d LEFT JOIN (SELECT user_id, count(*) AS seen FROM events GROUP BY 1) v ON v.user_id = d.doc_id % (SELECT max(user_id) + 1 FROM events)
+      LEFT JOIN (SELECT vec_id, embedding FROM embeddings) e ON e.vec_id = d.doc_id % (SELECT max(vec_id) + 1 FROM embeddings)""",
     "v_live": "SELECT * FROM v_entries WHERE tagged AND status <> 'archived'",
     "v_near": """
       SELECT e.*, list_cosine_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance
@@ -132,7 +134,6 @@ def _packed(name: str, source: str, most: int) -> str:
 )"""
 
 
-_HASH = r"md5(regexp_replace(lower(trim({0}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 _SECTION_COLUMNS = """source_file, section_ord, md5(heading) AS heading_md5, len(section_path)::INT AS depth,
   md5(array_to_string(section_path, '>')) AS path_md5, length(content)::INT AS n_chars, md5(content) AS content_md5"""
 _CHUNK_COLUMNS = f"""source_file, section_ord, chunk_index, ceil(length(content) / 4)::INT AS token_count, length(content)::INT AS n_chars,
@@ -175,19 +176,20 @@ _SQL: dict[str, tuple[str, str]] = {
     "retire_tombstones": ("", """
       SELECT 'Retired document: ' || path AS content, 'observation' AS content_type, path || '|retired|document_chunk' AS tags, path AS source_file, true AS retired
       FROM v_diff WHERE change = 'removed'"""),
-    "exists_map": ("", """
-      SELECT source_file, chunk_index, md5(content) AS content_hash, md5(content) IN (SELECT content_hash FROM v_live) AS exists FROM v_plain_chunks"""),
-    "embed_attach": ("", """
+    "exists_map": ("", f"""
+      SELECT source_file, chunk_index, h AS content_hash, h IN (SELECT content_hash FROM v_live) AS exists
+      FROM (SELECT *, {_HASH.format('content')} AS h FROM v_plain_chunks)"""),
+    "embed_attach": ("", f"""
       WITH last AS (SELECT content_hash, arg_max(embedding, id) AS embedding FROM v_entries WHERE embedding IS NOT NULL GROUP BY 1)
-      SELECT source_file, chunk_index, round(embedding[1]::DOUBLE, 6) AS first_component FROM v_plain_chunks LEFT JOIN last ON content_hash = md5(content)"""),
+      SELECT source_file, chunk_index, round(embedding[1]::DOUBLE, 6) AS first_component FROM v_plain_chunks LEFT JOIN last ON content_hash = {_HASH.format('content')}"""),
     "filter_chunks": ("", "SELECT source_file, chunk_index, length(content)::INT AS n_chars FROM v_plain_chunks WHERE length(content) % 2 = 0 AND length(content) % 10 >= 4"),
     "ingest_outcome": ("", """
       SELECT *, CASE WHEN dry_run OR NOT has_store THEN 'created' WHEN exists AND NOT force THEN 'skipped' WHEN answer <> 'ok' THEN 'skipped'
         WHEN force THEN 'updated' ELSE 'created' END AS outcome
       FROM (SELECT unnest([true, false]) AS dry_run), (SELECT unnest([true, false]) AS has_store), (SELECT unnest([true, false]) AS exists),
         (SELECT unnest([true, false]) AS force), (SELECT unnest(['ok', 'failed', 'no_success_key', 'null', 'exception']) AS answer)"""),
-    "ingest_summary": ("", """
-      WITH c AS (SELECT source_file, md5(content) AS h FROM v_plain_chunks), f AS (
+    "ingest_summary": ("", f"""
+      WITH c AS (SELECT source_file, {_HASH.format('content')} AS h FROM v_plain_chunks), f AS (
         SELECT h IN (SELECT content_hash FROM v_live) OR min(source_file) OVER (PARTITION BY h) < source_file AS known FROM c)
       SELECT (count(*) FILTER (NOT known))::BIGINT AS chunks_created, (count(*) FILTER (known))::BIGINT AS chunks_skipped, 0::BIGINT AS chunks_updated FROM f"""),
     "corpus_stats": (f"v_scan_md AS (SELECT * FROM v_raw_md WHERE stem NOT LIKE '.%'), {_lines('md', 'v_scan_md')}, scanned AS (SELECT * FROM md UNION ALL SELECT * FROM v_txt WHERE heading NOT LIKE '.%'), {_packed('ch', 'scanned', 2048)}", """
@@ -211,8 +213,9 @@ _SQL: dict[str, tuple[str, str]] = {
         min(coalesce(confidence, 0.0)) AS confidence_min, max(coalesce(confidence, 0.0)) AS confidence_max,
         count(*) FILTER (coalesce(confidence, 0.0) < 0.3) AS stale_count, count(*) FILTER (coalesce(access_count, 0) = 0) AS never_accessed,
         count(DISTINCT source_file) AS unique_source_files, {_ISO.format('min(created_at)')} AS oldest_chunk, {_ISO.format('max(created_at)')} AS newest_chunk FROM v_live"""),
-    "health_local": ("", """
-      SELECT '/corpus' AS corpus_path, count(*) AS file_count, sum(strlen(content))::BIGINT AS total_bytes, false AS manifest_exists, NULL::VARCHAR AS last_ingest FROM v_scan"""),
+    "health_local": ("", f"""
+      SELECT '/corpus' AS corpus_path, count(*) AS file_count, sum(strlen(content))::BIGINT AS total_bytes,
+        (SELECT count(*) > 0 FROM v_prev) AS manifest_exists, {_ISO.format('max(mtime)')} AS last_ingest FROM v_scan"""),
     "hot_chunks": ("", "SELECT id, access_count, confidence, source_file FROM v_live WHERE access_count > 0 ORDER BY access_count DESC, id LIMIT 10"),
     "cold_chunks": ("", f"""
       SELECT id, confidence, {_ISO.format('created_at')} AS created_at, source_file FROM (
@@ -223,9 +226,20 @@ _SQL: dict[str, tuple[str, str]] = {
       SELECT (SELECT count(*) FROM events WHERE event_type IN ('view', 'query'))::BIGINT AS total_queries, NULL::DOUBLE AS avg_retrieval_score,
         (count(*) FILTER (access_count = 0))::BIGINT AS chunks_never_accessed, (count(*) FILTER (confidence < 0.3))::BIGINT AS chunks_below_threshold FROM v_live"""),
     "quality_report": ("", """
-      (SELECT 'hot' AS section, id, source_file FROM v_live WHERE access_count > 0 ORDER BY access_count DESC, id LIMIT 10)
-      UNION ALL (SELECT 'cold', id, source_file FROM v_live WHERE access_count = 0 AND created_at < TIMESTAMP '2024-01-25 00:00:00' ORDER BY created_at, id LIMIT 10)
-      UNION ALL (SELECT 'low', id, source_file FROM v_live WHERE confidence < 0.3 ORDER BY confidence, id LIMIT 10)"""),
+      SELECT section, rank::INT AS rank, id, source_file, value FROM (
+        SELECT 'hot' AS section, row_number() OVER (ORDER BY access_count DESC, id) AS rank, id, source_file, NULL::DOUBLE AS value FROM v_live WHERE access_count > 0
+        UNION ALL SELECT 'cold', row_number() OVER (ORDER BY created_at, id), id, source_file, NULL FROM v_live WHERE access_count = 0 AND created_at < TIMESTAMP '2024-01-25 00:00:00'
+        UNION ALL SELECT 'low', row_number() OVER (ORDER BY confidence, id), id, source_file, NULL FROM v_live WHERE confidence < 0.3) WHERE rank <= 10
+      UNION ALL SELECT 'summary.total_queries', NULL, NULL, NULL, (SELECT count(*) FROM events WHERE event_type IN ('view', 'query'))::DOUBLE
+      UNION ALL SELECT 'summary.avg_retrieval_score', NULL, NULL, NULL, NULL
+      UNION ALL SELECT 'summary.chunks_never_accessed', NULL, NULL, NULL, (SELECT count(*) FROM v_live WHERE access_count = 0)::DOUBLE
+      UNION ALL SELECT 'summary.chunks_below_threshold', NULL, NULL, NULL, (SELECT count(*) FROM v_live WHERE confidence < 0.3)::DOUBLE"""),
+    "content_source": ("v_said AS (SELECT row_number() OVER ()::VARCHAR AS source_file, 0 AS section_ord, 'chat' AS heading, text AS content FROM conversations WHERE role = 'assistant'), "
+                       + _packed("ch", "v_said", 256), "SELECT 'chat' AS heading, count(*) AS chunks FROM ch HAVING count(*) > 0"),
+    "stream_ingest": (f"{_lines('md', 'v_raw_md')}, {_SECTIONS}, {_packed('ch', 'all_sections', 2048)}", f"""
+      WITH h AS (SELECT source_file, {_HASH.format('content')} AS h FROM ch),
+      f AS (SELECT *, min(source_file) OVER (PARTITION BY h) AS first FROM h)
+      SELECT lower(regexp_extract(source_file, '(\\.[^.]+)$', 1)) AS extension, count(*) AS chunks, count(DISTINCT h) AS hashes FROM f WHERE source_file = first GROUP BY 1"""),
     "detect_orphans": ("", "SELECT source_file FROM v_sources WHERE source_file NOT IN (SELECT path FROM v_manifest)"),
     "sync_stats": ("", """
       SELECT (SELECT count(*) FROM v_sources WHERE source_file NOT IN (SELECT path FROM v_manifest))::BIGINT AS orphan_count,

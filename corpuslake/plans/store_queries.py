@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,11 +38,16 @@ def health_store(spark: S, sf: str) -> DataFrame:
 
 
 def health_local(spark: S, sf: str) -> DataFrame:
+    """The scan's summary, whether the manifest before has files, and the scan's last change as the time of ingest."""
     from ..operators import manifest
 
-    scanned = manifest.fingerprint(manifest.select_files(X.files(spark, sf)))
-    return manifest.summarize(scanned).select(
-        F.lit("/corpus").alias("corpus_path"), "file_count", "total_bytes", F.lit(False).alias("manifest_exists"), F.lit(None).cast("string").alias("last_ingest"))
+    files = X.files(spark, sf)
+    scanned = manifest.fingerprint(manifest.select_files(files))
+    before = X.previous_files(spark, sf, files).agg((F.count("*") > 0).alias("manifest_exists"))
+    last = scanned.agg(M.iso(F.max("mtime")).alias("last_ingest"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(manifest.summarize(scanned)).join(one(before), "_one").join(one(last), "_one").select(
+        F.lit("/corpus").alias("corpus_path"), "file_count", "total_bytes", "manifest_exists", "last_ingest")
 
 
 def hot_chunks(spark: S, sf: str) -> DataFrame:
@@ -66,10 +71,22 @@ def quality_summary(spark: S, sf: str) -> DataFrame:
 
 
 def quality_report(spark: S, sf: str) -> DataFrame:
-    """The three lists of the report in one table: section, id and source file."""
-    named = lambda name, df: df.select(F.lit(name).alias("section"), "id", "source_file")
+    """The report in one table: its three lists, each in order, and the figures of its summary."""
     e = X.entries(spark, sf)
-    return named("hot", M.hot_chunks(e)).unionByName(named("cold", M.cold_chunks(e, X.AS_OF))).unionByName(named("low", M.low_confidence(e)))
+
+    def listed(name: str, df: DataFrame, *order) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order, "id")).alias("rank")  # ten rows
+        return df.select(F.lit(name).alias("section"), place, "id", "source_file", F.lit(None).cast("double").alias("value"))
+
+    summary = M.quality_summary(e, X.access_log(spark, sf))
+    figures = ("total_queries", "avg_retrieval_score", "chunks_never_accessed", "chunks_below_threshold")
+    stack = summary.select(F.explode(F.array(*[F.struct(F.lit(f"summary.{n}").alias("section"), F.col(n).cast("double").alias("value")) for n in figures])).alias("x"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return (
+        listed("hot", M.hot_chunks(e), F.desc("access_count")).unionByName(listed("cold", M.cold_chunks(e, X.AS_OF), "created_at"))
+        .unionByName(listed("low", M.low_confidence(e), "confidence"))
+        .unionByName(stack.select("x.section", none("int").alias("rank"), none("long").alias("id"), none("string").alias("source_file"), "x.value"))
+    )
 
 
 def detect_orphans(spark: S, sf: str) -> DataFrame:
