@@ -8,14 +8,15 @@ import time
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import text as T
 from .operators import chunking, enrich, maintenance, manifest, parsing, retrieval
-from .schemas import EXTENSIONS, FEEDBACK
+from .schemas import ENTRY, EXTENSIONS, FEEDBACK
 from .settings import Settings
 from .sources import corpus_files
-from .sources.manifest_store import ManifestStore
+from .sources.manifest_store import ManifestStore, MonitorStore
 from .sources.store import ChunkStore, EventLog
 
 _COUNTS = ("files_scanned", "files_added", "files_changed", "files_removed", "chunks_created", "chunks_skipped", "chunks_updated")
@@ -37,18 +38,22 @@ def _guarded(call):
 class Engine:
     """``store_path`` None means no store: ingest counts chunks as created, queries find nothing.
 
-    ``embedder``: texts -> vectors; ``classifier``: text -> (relevant, confidence);
-    ``extractor``: (path, bytes) -> text; ``synthesizer``: prompt -> answer."""
+    ``embedder``: texts -> vectors; ``classifier``: (text, prompt) -> (relevant, confidence);
+    ``extractor``: (path, bytes) -> text; ``synthesizer``: prompt -> answer; ``hash_fn``:
+    column of content -> column of its hash. Manifests and monitors lie in the settings'
+    ``manifest_dir``, else beside the store, else in the user's home."""
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None, store_path: str | None = None, embedder: enrich.Embedder | None = None,
-                 classifier: enrich.Classifier | None = None, extractor: parsing.Extractor | None = None, synthesizer: Callable[[str], str] | None = None):
+                 classifier: enrich.Classifier | None = None, extractor: parsing.Extractor | None = None, synthesizer: Callable[[str], str] | None = None,
+                 hash_fn: Callable[[Column], Column] = T.content_hash):
         self.spark, self.settings = spark, settings or Settings()
         self.store = ChunkStore(spark, store_path) if store_path else None
         self.feedback = EventLog(spark, f"{store_path}/feedback", FEEDBACK) if store_path else None
         self.access_log = EventLog(spark, f"{store_path}/access_log", "action string") if store_path else None
-        self.manifests = ManifestStore(spark, self.settings.manifest_dir)
+        home = self.settings.manifest_dir or (f"{store_path.rstrip('/')}/manifests" if store_path else "~/.corpuslake/manifests")
+        self.manifests, self.monitors = ManifestStore(spark, home), MonitorStore(spark, home)
         self.embedder, self.classifier, self.extractor, self.synthesizer = embedder, classifier, extractor, synthesizer
-        self._monitors: list[dict] = []
+        self.hash_fn = hash_fn
 
     # ------------------------------------------------------------ ingest
 
@@ -88,9 +93,12 @@ class Engine:
 
     def _process(self, paths: DataFrame, dry_run: bool, force: bool, filter: bool) -> dict:
         """Parse, chunk, filter, dedup, embed and store the files of ``paths`` (path, file_seq)."""
-        files = corpus_files.read_contents(paths)
+        files = corpus_files.read_contents(paths).where("raw is not null")  # files may go meanwhile
+        return self._ingest_files(files, paths, dry_run, force, filter)
+
+    def _ingest_files(self, files: DataFrame, paths: DataFrame, dry_run: bool, force: bool, filter: bool) -> dict:
         parsed = parsing.sections_only(parsing.parse(files.select("path", "content", "raw"), self.extractor))
-        made = chunking.chunk(parsed, self.settings.chunker.max_tokens).join(paths.select(F.col("path").alias("source_file"), "file_seq"), "source_file").persist()
+        made = chunking.chunk(parsed, self.settings.chunker.max_tokens, hash_fn=self.hash_fn).join(paths.select(F.col("path").alias("source_file"), "file_seq"), "source_file").persist()
         settings = self.settings.ingest
         kept = enrich.filter_chunks(made, self.classifier, settings.filter_prompt, settings.filter_threshold, filter).persist()
         total, passed = made.count(), kept.count()
@@ -121,7 +129,7 @@ class Engine:
             name = F.concat(F.lit(f"content://{source_type}/"), F.uuid())
             section = self.spark.createDataFrame([(content, 0)], "content string, section_ord int").select(
                 name.alias("source_file"), "section_ord", F.lit(source_type).alias("heading"), F.array(F.lit(source_type)).alias("section_path"), "content")
-            made = chunking.chunk(section, self.settings.chunker.max_tokens)
+            made = chunking.chunk(section, self.settings.chunker.max_tokens, hash_fn=self.hash_fn)
             settings = self.settings.ingest
             kept = enrich.filter_chunks(made, self.classifier, settings.filter_prompt, settings.filter_threshold).persist()
             count = kept.count()
@@ -134,63 +142,61 @@ class Engine:
 
     # ------------------------------------------------------------ query
 
-    def _retrieve(self, question: str, top_k: int | None, expand: bool, radius: int | None) -> list[dict]:
-        """Retrieved chunks in order: at most the windows of ``top_k`` hits."""
-        if self.store is None or self.embedder is None:
-            return []
-        vector = list(self.embedder([question]))[0]
-        entries = self.store.entries()
-        hits = retrieval.top_k(entries, vector, top_k or self.settings.query.top_k).withColumns(
-            {n: F.col(f"context.{n}") for n in ("source_file", "chunk_index", "heading")})
+    _RESULT = ("rank", "id", "content", "content_hash", "source_file", "heading", "chunk_index", *retrieval.CARRIED, "embedding", "distance", "context")
+
+    def _retrieve(self, question: str, top_k: int | None, expand: bool, radius: int | None) -> DataFrame:
+        """Retrieved chunks by rank: at most the windows of ``top_k`` hits, kept in memory."""
+        entries = self._entries()
+        names = ("source_file", "chunk_index", "heading")
+        vector = list(self.embedder([question]))[0] if self.store is not None and self.embedder is not None else []
+        hits = retrieval.top_k(entries, vector, top_k or self.settings.query.top_k)
+        hits = retrieval.resolve_context(hits.withColumn("context", F.struct(*[F.col(f"context.{n}").alias(n) for n in names])), entries)
         radius = self.settings.query.neighbor_radius if radius is None else int(radius)
-        names = ("id", "content", "content_hash", "source_file", "heading", "chunk_index", "confidence", "status", "embedding", "distance")
-        if not expand or radius <= 0:
-            return [r.asDict() for r in hits.orderBy("rank").select(*names).collect()]
-        merged = retrieval.merge_neighbors(retrieval.neighbors(hits, entries, radius))
-        known = entries.select("id", "confidence", "status", F.col("context.heading").alias("heading"))
-        rows = merged.join(known, "id", "left").orderBy("hit_rank", "chunk_index", "id")
-        rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
-        return [r.asDict() for r in rows.select(*names).collect()]
+        if expand and radius > 0:
+            merged = retrieval.merge_neighbors(retrieval.neighbors(hits, entries, radius))
+            place = Window.orderBy("hit_rank", "chunk_index", "id")  # at most top_k windows
+            hits = merged.withColumns({"rank": F.row_number().over(place), "embedding": F.lit(None).cast("array<float>"), "context": F.struct(*names)})
+        return hits.select(*self._RESULT).persist()
 
     @staticmethod
-    def _metadata(chunks: list[dict]) -> dict:
-        pick = lambda n: [c[n] for c in chunks if c[n] is not None]
-        confidence, distance, files = pick("confidence"), pick("distance"), list(dict.fromkeys(pick("source_file")))
-        statuses: dict = {}
-        for c in chunks:
-            statuses[c["status"]] = statuses.get(c["status"], 0) + 1
-        mean = lambda v: round(sum(v) / len(v), 4) if v else None
-        ends = lambda v: [min(v), max(v)] if v else None
-        return {
-            "retrieval_score": mean(distance), "chunk_count": len(chunks), "confidence_avg": mean(confidence), "confidence_range": ends(confidence),
-            "distance_range": ends(distance), "source_files": files, "source_file_count": len(files),
-            "all_embedded": all(c["embedding"] and any(c["embedding"]) for c in chunks), "statuses": statuses,
-        }
+    def _metadata(rows: DataFrame) -> dict:
+        got = retrieval.result_metadata(rows).first().asDict()
+        ends = lambda n: None if (low := got.pop(f"{n}_min")) is None else [low, got.pop(f"{n}_max")]
+        got |= {"confidence_range": ends("confidence"), "distance_range": ends("distance"), "statuses": {r["status"]: r["n"] for r in retrieval.status_counts(rows).collect()}}
+        return {n: v for n, v in got.items() if not n.endswith(("_min", "_max"))}
+
+    @staticmethod
+    def _sources(rows: DataFrame) -> list[dict]:
+        return [r.asDict() for r in retrieval.format_source(rows.orderBy("rank")).collect()]
 
     @_guarded
     def retrieve(self, question: str, top_k: int | None = None, expand_neighbors: bool = False, neighbor_radius: int | None = None) -> dict:
-        chunks = self._retrieve(question, top_k, expand_neighbors, neighbor_radius)
-        sources = [{n: c[n] for n in ("content", "source_file", "heading", "chunk_index", "distance")} for c in chunks]
-        return {"success": True, "sources": sources, "metadata": self._metadata(chunks)}
+        rows = self._retrieve(question, top_k, expand_neighbors, neighbor_radius)
+        try:
+            return {"success": True, "sources": self._sources(rows), "metadata": self._metadata(rows)}
+        finally:
+            rows.unpersist()
 
     @_guarded
     def query(self, question: str, top_k: int | None = None, synthesize: bool = True, expand_neighbors: bool = False, neighbor_radius: int | None = None) -> dict:
         started = time.monotonic()
-        chunks = self._retrieve(question, top_k, expand_neighbors, neighbor_radius)
-        answer, synthesized = None, synthesize and self.synthesizer is not None
-        if synthesized:
-            context = "\n\n---\n\n".join(c["content"] or "" for c in chunks)
-            prompt = question if not context else (
-                f"You are a helpful assistant. Use the context below to answer the question.\n\nContext:\n{context}\n\nQuestion: {question}\n\nAnswer:")
-            try:
-                answer = self.synthesizer(prompt)
-            except Exception:  # an answer is optional
-                answer = None
-        metadata = self._metadata(chunks) | {"latency_ms": round((time.monotonic() - started) * 1000)}
-        if chunks:
-            self.record_feedback(question, [c["id"] for c in chunks if c["id"] is not None], metadata["retrieval_score"] or 0.0, synthesized)
-        sources = [{n: c[n] for n in ("content", "source_file", "heading", "chunk_index", "distance")} for c in chunks]
-        return {"success": True, "answer": answer, "sources": sources, "metadata": metadata}
+        rows = self._retrieve(question, top_k, expand_neighbors, neighbor_radius)
+        try:
+            answer, synthesized = None, synthesize and self.synthesizer is not None
+            if synthesized:
+                prompt = retrieval.joined_contents(rows).select(retrieval.synthesis_prompt(F.lit(question), F.col("context"))).first()[0]
+                try:
+                    answer = self.synthesizer(prompt)
+                except Exception:  # an answer is optional
+                    answer = None
+            sources = self._sources(rows)
+            metadata = self._metadata(rows) | {"latency_ms": round((time.monotonic() - started) * 1000)}
+            if sources:
+                ids = [r["id"] for r in rows.where("id is not null").orderBy("rank").select("id").collect()]
+                self.record_feedback(question, ids, metadata["retrieval_score"] or 0.0, synthesized)
+            return {"success": True, "answer": answer, "sources": sources, "metadata": metadata}
+        finally:
+            rows.unpersist()
 
     @_guarded
     def record_feedback(self, question: str, chunk_ids: Sequence[int], retrieval_score: float, synthesized: bool = True, rating: int | None = None) -> dict:
@@ -215,8 +221,6 @@ class Engine:
         return {"success": True, "path": path, "file_count": scanned["file_count"], "estimated_chunks": made.count(), "total_bytes": scanned["total_bytes"]}
 
     def _entries(self) -> DataFrame:
-        from .schemas import ENTRY
-
         return self.store.entries() if self.store is not None else self.spark.createDataFrame([], ENTRY)
 
     @_guarded
@@ -276,8 +280,9 @@ class Engine:
     # ------------------------------------------------------------ monitors
 
     def resolve_monitors(self) -> list[dict]:
+        """Registered monitors, read anew, and the legacy folder unless one has its path."""
         legacy = self.settings.corpus_path
-        found = [dict(m) for m in self._monitors]
+        found = self.monitors.load()
         if legacy and all(m["path"] != legacy for m in found):
             found.append({"path": legacy, "extensions": list(EXTENSIONS), "label": "legacy"})
         return found
@@ -287,17 +292,20 @@ class Engine:
         full = os.path.abspath(os.path.expanduser(path))
         if not os.path.isdir(full):
             return {"success": False, "error": f"Path {full} does not exist or is not a directory"}
-        if any(m["path"] == full for m in self._monitors):
+        known = self.monitors.load()
+        if any(m["path"] == full for m in known):
             return {"success": False, "error": f"Path {full} is already registered"}
         added = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        self._monitors.append({"path": full, "extensions": list(extensions or (".md", ".txt")), "label": label or os.path.basename(full), "added_at": added})
-        return {"success": True, "monitor": dict(self._monitors[-1])}
+        made = {"path": full, "extensions": list(extensions or (".md", ".txt")), "label": label or os.path.basename(full), "added_at": added}
+        self.monitors.save([*known, made])
+        return {"success": True, "monitor": made}
 
     @_guarded
     def remove_monitor(self, identifier: str) -> dict:
-        for m in self._monitors:
+        known = self.monitors.load()
+        for m in known:
             if identifier in (m["path"], m["label"]):
-                self._monitors.remove(m)
+                self.monitors.save([x for x in known if x is not m])
                 return {"success": True, "removed": m}
         return {"success": False, "error": f"Monitor '{identifier}' not found"}
 
@@ -326,4 +334,28 @@ class Engine:
         path = self.settings.corpus_path or next((m["path"] for m in self.resolve_monitors()), None)
         return scheduled(self.spark, lambda: self.health(path), self.settings.schedules.maintenance_seconds, checkpoint) if path else None
 
+    def consume(self, messages: DataFrame, checkpoint: str, available_now: bool = False):
+        """Ingest the files that a stream of messages (path[, content]) names, with this engine's hooks."""
+        from .streaming.ingest import subscribe
+
+        def handle(batch: DataFrame, _number: int) -> None:
+            seen = batch.where("path is not null").withColumn("file_seq", F.concat(F.lit("0:"), "path"))
+            if "content" in batch.columns:  # of several messages for a path any one stands
+                given = seen.where("content is not null").groupBy("path", "file_seq").agg(F.first("content").alias("content"))
+                self._ingest_files(given.withColumn("raw", F.col("content").cast("binary")), given, False, False, True)
+                seen = seen.where("content is null")
+            self._process(seen.select("path", "file_seq").distinct(), False, False, True)
+
+        return subscribe(messages, handle, checkpoint, available_now)
+
+    def on_reload(self, messages: DataFrame, checkpoint: str, changed: Callable[[list[dict]], None], available_now: bool = False):
+        """Call ``changed`` with the monitors, read anew, for every batch of reload messages.
+
+        A running ``watch`` needs no message: it reads the monitors at every tick."""
+        from .streaming.ingest import subscribe
+
+        def handle(batch: DataFrame, _number: int) -> None:
+            if batch.limit(1).count():
+                changed(self.resolve_monitors())
 
+        return subscribe(messages, handle, checkpoint, available_now)

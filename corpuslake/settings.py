@@ -45,4 +45,5 @@ class Settings:
     maintenance: Maintaining = field(default_factory=Maintaining)
     schedules: Schedules = field(default_factory=Schedules)
     corpus_path: str | None = None
-    manifest_dir: str = "~/.corpuslake/manifests"
+    #: Where manifests and monitors lie; None: beside the store.
+    manifest_dir: str | None = None

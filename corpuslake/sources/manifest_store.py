@@ -49,3 +49,22 @@ class ManifestStore:
 
     def saved_at_ms(self, corpus_path: str) -> int | None:
         return scratch.modified_ms(self.spark, self.path(corpus_path))
+
+
+class MonitorStore:
+    """The registered monitors, one small file that every engine of an installation reads anew."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.file = f"{ManifestStore(spark, folder).folder}/monitors.json"
+
+    def load(self) -> list[dict]:
+        """The monitors; none if the file is not there or cannot be read."""
+        try:
+            text = scratch.read_text(self.spark, self.file)
+            return json.loads(text) if text else []
+        except Exception:  # corrupt: start anew
+            return []
+
+    def save(self, monitors: list[dict]) -> None:
+        scratch.write_text(self.spark, self.file, json.dumps(monitors))

@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslake.engine import Engine
-from corpuslake.operators import enrich, maintenance, retrieval
+from corpuslake.operators import enrich, maintenance, parsing, retrieval
 from corpuslake.schemas import ENTRY
 from corpuslake.settings import Ingesting, Settings
 from corpuslake.sources import corpus_files
@@ -152,3 +153,56 @@ def test_watcher_runs_on_a_clock(spark, tmp_path):
         query.awaitTermination(1)
     query.stop()
     assert calls
+
+
+def test_retrieval_goes_through_the_operators(spark, tmp_path, corpus):
+    asked = []
+
+    def embed(texts):
+        return [[float(t.count(c)) + 0.01 for c in "abcd"] for t in texts]
+
+    made = Engine(spark, None, str(tmp_path / "store"), embedder=embed, synthesizer=lambda p: asked.append(p) or "said", hash_fn=lambda c: F.sha2(c, 256))
+    assert made.ingest_corpus(str(corpus))["success"] and made.manifests.folder == str(tmp_path / "store" / "manifests")
+    assert {len(r[0]) for r in made.store.entries().select("content_hash").collect()} == {64}
+    got = made.query("bbbb", top_k=1, expand_neighbors=True)
+    assert got["answer"] == "said" and asked[0].startswith("You are a helpful assistant.") and "\n\n---\n\n" in asked[0]
+    assert {s["heading"] for s in got["sources"]} == {"A", "B"} and got["metadata"]["statuses"] == {"confirmed": 2}
+    assert got["metadata"]["confidence_range"] == [0.5, 0.5] and got["metadata"]["distance_range"] is None and got["metadata"]["source_file_count"] == 1
+    rows = retrieval.neighbors(retrieval.resolve_context(retrieval.top_k(made.store.entries(), embed(["bbbb"])[0], 1), made.store.entries()), made.store.entries())
+    assert {(r.content_type, tuple(r.tags)[-1], r.status) for r in rows.collect()} == {("document_chunk", "document_chunk", "confirmed")}
+    assert Engine(spark).retrieve("x")["sources"] == []
+
+
+def test_prompt_and_single_embeddings(spark):
+    chunks = spark.createDataFrame([(f"h{i}", c, False) for i, c in enumerate("abc")], "content_hash string, content string, exists boolean")
+    kept = enrich.filter_chunks(chunks, lambda text, prompt: (text in prompt, 1.0), "a and c", 0.5)
+    assert sorted(r.content for r in kept.collect()) == ["a", "c"]
+
+    def picky(texts):
+        if "b" in texts:
+            raise RuntimeError("down")
+        return [[1.0]] * len(texts)
+
+    assert {r.content: r.embedding for r in enrich.embed(chunks, picky).collect()} == {"a": [1.0], "b": None, "c": [1.0]}
+
+
+def test_queue_of_paths_and_reload(spark, tmp_path, engine, corpus):
+    queue = str(tmp_path / "queue")
+    rows = [(str(corpus / "one.md"), None), (str(corpus / "gone.md"), None), ("/sent/note.txt", "sent text"), (str(corpus / "one.md"), None)]
+    spark.createDataFrame(rows, "path string, content string").write.parquet(queue)
+    stream = spark.readStream.schema("path string, content string").parquet(queue)
+    engine.consume(stream, str(tmp_path / "c1"), available_now=True).awaitTermination()
+    assert sorted(r.content for r in engine.store.entries().collect()) == ["aaaa", "bbbb", "sent text"]
+    assert all(r.embedding for r in engine.store.entries().collect())
+    seen = []
+    other = Engine(spark, engine.settings)
+    assert other.add_monitor(str(corpus), label="x")["success"] and [m["label"] for m in engine.resolve_monitors()] == ["x"]
+    engine.on_reload(spark.readStream.schema("path string, content string").parquet(queue), str(tmp_path / "c2"), seen.append, available_now=True).awaitTermination()
+    assert [m["label"] for m in seen[0]] == ["x"]
+
+
+def test_markdown_is_parsed_without_a_shuffle(spark):
+    files = spark.createDataFrame([("/a.md", "# T\nx\n## U\ny"), ("/b.md", None)], "path string, content string")
+    made = parsing.parse_markdown(files)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.heading, r.content, list(r.section_path)) for r in made.collect()) == [("T", "x", ["T"]), ("U", "y", ["T", "U"]), ("b", "", [])]
