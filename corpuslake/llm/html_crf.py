@@ -8,8 +8,8 @@ trained on labelled pages (``labelled_pages`` writes them, with the labels known
 by construction) by maximum likelihood with forward-backward sums, and decoded
 by Viterbi.
 
-Null or empty pages, and pages without text, give an empty text. Pages are read
-whole, whatever their length. Repeated rows are extracted alike; an empty table
+Null or empty pages, and pages without text, give an empty text; labellings of
+equal score are settled for the label *no*. Pages are read whole, whatever their length. Repeated rows are extracted alike; an empty table
 gives no rows; extra columns are kept, but for ``text`` and ``n_chars``, which
 are replaced.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .html_blocks import Block, leaf_blocks
 
 #: Pages that the field learns from.
-TRAIN_PAGES = 500
+TRAIN_PAGES = 800
 _STEPS, _RATE, _RIDGE = 250, 0.1, 0.0005
 _ENDS = tuple(".!?:;…\"'»”)")
 
@@ -49,13 +49,19 @@ def text_features(block: Block) -> list[str]:
 
 
 def features(blocks: Sequence[Block]) -> list[list[str]]:
-    """Features of every block of a page, its neighbours' lengths and links included."""
+    """Features of every block of a page, its neighbours' lengths and links included, and how the page
+    is built: how many blocks it has, whether this one, another or none stands in an article or main element, and
+    whether any class, id or role stands above it."""
     own = [text_features(b) for b in blocks]
+    inside = ["<article>" in b.names or "<main>" in b.names for b in blocks]
+    none, size = not any(inside), f"blocks{min(7, len(blocks).bit_length())}"
     out = []
     for i, (block, f) in enumerate(zip(blocks, own)):
         before = own[i - 1] if i else ("start",)
         after = own[i + 1] if i + 1 < len(own) else ("end",)
-        out.append([*block.names, *f, "-" + before[0], "-" + before[min(2, len(before) - 1)], "+" + after[0], "+" + after[min(2, len(after) - 1)], "bias"])
+        held = "none" if none else "in" if inside[i] else "out"
+        plain = "named" if any(n[0] == "." for n in block.names) else "plain"
+        out.append([*block.names, *f, held, f"{held} {plain}", f"{plain} {f[2]}", f"{held} {f[0]}", f"{held} {f[2]}", f"{held} {size}", "-" + before[0], "-" + before[min(2, len(before) - 1)], "+" + after[0], "+" + after[min(2, len(after) - 1)], "bias"])
     return out
 
 
@@ -166,11 +172,26 @@ _SYLLABLES = "the of and ti er ion en le re ou ch ß ü é è ñ ó ing sch ed a
 
 
 def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, set[str]]]:
-    """Pages of many layouts, each with the texts of its article's blocks."""
+    """Pages of many layouts, each with the texts of its article's blocks.
+
+    Layouts are those of pages in general: articles in article, main, section or div elements with or without
+    telling names, in table cells and centred columns, or bare in the body; long and short, with and without
+    headings, with and without anything around them."""
     draw = random.Random(seed)
 
     def word() -> str:
-        return "".join(draw.choice(_SYLLABLES) for _ in range(draw.randint(1, 4))) + (draw.choice(("###", "%%%", "***")) if draw.random() < 0.03 else "")
+        made = "".join(draw.choice(_SYLLABLES) for _ in range(draw.randint(1, 4)))
+        kind = draw.random()
+        return f"{made}{draw.choice('#%*+=~')}" if kind < 0.01 else str(draw.randint(1, 3000)) if kind < 0.03 else made
+
+    def inline(text: str) -> str:
+        """Some words of a text in inline elements, or a line break among them."""
+        if draw.random() > 0.25:
+            return text
+        words = text.split(" ")
+        at = draw.randrange(len(words))
+        words[at] = draw.choice(("<b>{}</b>", "<i>{}</i>", "<em>{}</em>", "<strong>{}</strong>", "<span>{}</span>", "<code>{}</code>", "{}<br>", "<b>{}<br>")).format(words[at])
+        return " ".join(words)
 
     def sentence(low: int, high: int) -> str:
         return " ".join(word() for _ in range(draw.randint(low, high))).capitalize() + draw.choice((".", ".", ".", "", "!", "?", ","))
@@ -186,9 +207,9 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, s
         return f"<{tag}{attr}>{inner}</{tag}>"
 
     def links() -> str:
-        if draw.random() < 0.8:
+        if draw.random() < 0.7:
             return "<ul>" + "".join(f'<li><a href="/{i}">{sentence(1, 3)}</a></li>' for i in range(draw.randint(2, 8))) + "</ul>"
-        return " | ".join(f'<a href="/{i}">{word()}</a>' for i in range(draw.randint(2, 8)))
+        return draw.choice((" | ", " ", "<br>", " &middot; ", " &gt; ")).join(f'<a href="/{i}">{sentence(1, 2)}</a>' for i in range(draw.randint(2, 8)))
 
     def around(kind: str) -> str:
         name = draw.choice(_AROUND[kind])
@@ -197,7 +218,8 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, s
         elif kind == "header":
             inner = f"<p>{sentence(1, 5)}</p>" + (links() if draw.random() < 0.5 else "")
         elif kind == "footer":
-            inner = f"{draw.choice(('&copy; ', '', 'Copyright '))}{word()}.example.com &middot; {sentence(2, 6)}" if draw.random() < 0.7 else f"<p>{prose(1, 2)}</p>{links()}"
+            mark = draw.choice(("&copy; ", "&#169; ", "Copyright ", "(c) ", ""))
+            inner = f"{mark}{word()}{draw.choice((' ', ', ', ' &middot; ', ' | ', ' - '))}{sentence(1, 6)}" if draw.random() < 0.7 else f"<p>{prose(1, 2)}</p>{links()}"
         elif kind == "side":
             inner = f"<h3>{sentence(1, 3)}</h3>{links()}" if draw.random() < 0.6 else f"<h4>{sentence(1, 3)}</h4><p>{prose(1, 3)}</p>"
         elif kind in ("notice", "advert"):
@@ -210,11 +232,12 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, s
         return element(name, inner)
 
     def article() -> str:
-        out = f"<h1>{sentence(3, 10)}</h1>" if draw.random() < 0.85 else ""
-        for _ in range(draw.randint(1, 14)):
+        out = f"<h1>{sentence(1, 10)}</h1>" if draw.random() < 0.75 else ""
+        paragraph = draw.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "<div class=\"paragraph\">{}</div>"))
+        for _ in range(draw.choice((1, 1, 2, 2, 3, 5, 8, 14))):
             kind = draw.random()
             if kind < 0.75:
-                out += draw.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>")).format(prose(1, 9))
+                out += paragraph.format(inline(prose(1, 9)))
             elif kind < 0.83:
                 out += f"<h2>{sentence(1, 6)}</h2>"
             elif kind < 0.88:
@@ -227,23 +250,37 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[tuple[str, s
                 out += f"<p>{sentence(1, 3)}</p>"
         return out
 
+    def placed(body: str) -> str:
+        """The article in its holder: a named element, a table cell beside others, a column, or nothing."""
+        kind = draw.random()
+        if kind < 0.62:
+            return element(draw.choice(_HOLDERS), body)
+        if kind < 0.74:
+            menu = f"<td>{links()}</td>" if draw.random() < 0.6 else ""
+            rest = f"<td>{links()}</td>" if draw.random() < 0.3 else ""
+            return f"<table><tr>{menu}<td>{body}</td>{rest}</tr></table>"
+        if kind < 0.8:
+            return draw.choice(("<center>{}</center>", "<center><font size=2>{}</font></center>")).format(body)
+        return f'<div id="{word()}">{body}</div>' if kind < 0.88 else body
+
     pages = []
     for _ in range(count):
         body = article()
         wanted = {b.text for b in leaf_blocks(body)}
-        for _ in range(draw.choice((0, 0, 1, 1, 2))):
+        alone = draw.random() < 0.12
+        for _ in range(0 if alone else draw.choice((0, 0, 1, 1, 2))):
             at = body.find("<p>", draw.randint(0, len(body)))
             if at > 0:
                 body = body[:at] + around(draw.choice(("advert", "side", "notice", "form"))) + body[at:]
-        wrapped = element(draw.choice(_HOLDERS), body)
-        if draw.random() < 0.25:
+        wrapped = placed(body)
+        if not alone and draw.random() < 0.25:
             wrapped = wrapped + around("comments") if draw.random() < 0.7 else element(("main", ""), wrapped + around("comments"))
-        before = [around(k) for k in draw.sample(("menu", "header", "notice", "advert", "form", "side"), draw.randint(0, 4))]
-        after = [around(k) for k in draw.sample(("menu", "footer", "notice", "advert", "form", "side", "footer"), draw.randint(0, 4))]
+        before = [around(k) for k in draw.sample(("menu", "header", "notice", "advert", "form", "side"), 0 if alone else draw.randint(0, 4))]
+        after = [around(k) for k in draw.sample(("menu", "footer", "notice", "advert", "form", "side", "footer"), 0 if alone else draw.randint(0, 4))]
         page = "".join(before) + wrapped + "".join(after)
         wrap = draw.choice(_WRAPS)
         page = element(wrap, page) if wrap else page
-        pages.append((f"<!DOCTYPE html><html><head><title>{sentence(2, 6)}</title><style>p{{}}</style></head><body>{page}</body></html>", wanted))
+        pages.append((f"<!DOCTYPE html><html><head><title>{sentence(2, 6)}</title></head><body>{page}</body></html>", wanted))
     return pages
 
 
