@@ -17,6 +17,7 @@ holds one block of texts at a time.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -51,18 +52,26 @@ class CachedTokenizer:
     def __init__(self, path: str | None = None, ranks_path: str | None = None, most: int = CACHE_WORDS, ordinary: bool = False):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path or public_tokenizers.path(RANKS_FILE), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self._encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self._library = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER_FILE))
-        self._added = [] if ordinary else [t.content for t in self._library.get_added_tokens_decoder().values()]
+        self._path, self._library = path or public_tokenizers.path(TOKENIZER_FILE), None
+        with open(self._path, encoding="utf-8") as file:
+            self._added = [] if ordinary else [t["content"] for t in json.load(file)["added_tokens"]]
         self._most = most
         self._clear()
 
+    def _whole(self, text: str) -> list[int]:
+        """Ids by the library, which few texts need: it takes a second to load."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return self._library.encode(text, add_special_tokens=False).ids
+
     def _clear(self) -> None:
         self._code: dict[str, int] = {}
         self._pool = np.empty(1 << 16, np.uint32)
@@ -88,7 +97,7 @@ class CachedTokenizer:
         for i, text in enumerate(texts):
             chunks = text.split(" ")
             if any(a in text for a in self._added):
-                out[i] = np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
+                out[i] = np.array(self._whole(text), np.uint32)
             elif len(text) > 1 and chunks[0] != "" and not any(not c or c[-1].isspace() for c in chunks[:-1]):
                 marks.append((i, len(words)))
                 words.append(chunks[0])
