@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .textarrays import _BYTE, _powers, blocks, mix, release, rows_of
+from .textarrays import _BYTE, _powers, blocks, mix, release, rows_of, settled, tidy
 
 LENGTH, ANCHOR = 50, 26
 #: Segments, or bytes of segments, that a map task holds before it sends them.
@@ -145,10 +145,8 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
                     release()
         if total:
             yield pack(held)
-        held = []
-        release()
 
-    return docs.mapInArrow(run, _SENT)
+    return docs.mapInArrow(tidy(run), _SENT)
 
 
 _DEALT = "bucket int, part int, docs binary, versions binary, sizes binary, data binary"
@@ -334,10 +332,8 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
                     release()
         if held:
             yield pack(held)
-        held = []
-        release()
 
-    return met.mapInArrow(run, _SHARDS)
+    return met.mapInArrow(tidy(run), _SHARDS)
 
 
 def _statuses(s: Segments, marks: list, ranges: int) -> np.ndarray:
@@ -416,8 +412,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def gathered(sent: DataFrame, find, what: str) -> DataFrame:
         """(doc_id, version, what) of what ``find`` found in each range, one row a document."""
-        found = sent.groupBy("part").applyInArrow(lambda t: find(t, ranges), _DEALT)
-        told = found.groupBy("bucket").applyInArrow(_gather, _MARKS)
+        found = sent.groupBy("part").applyInArrow(lambda t: settled(find(t, ranges)), _DEALT)
+        told = found.groupBy("bucket").applyInArrow(lambda t: settled(_gather(t)), _MARKS)
         return cut(told.withColumnRenamed("marks", what), what)
 
     marks = gathered(_send_names(slim, ranges), _judge_names, "marks")
@@ -464,9 +460,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = [k.decode("utf-8", "ignore") for k in kept]
             more = [pa.array(kept, pa.string() if as_text else pa.binary()), *[pa.array(x, pa.int64()) for x in (size, gone, spans)]]
             yield pa.RecordBatch.from_arrays([*plain, *more], names=[*given, *made])
-        release()
 
-    return joined.mapInArrow(run, schema).withColumnsRenamed({g: f.name for g, f in zip(given, rest)})
+    return joined.mapInArrow(tidy(run), schema).withColumnsRenamed({g: f.name for g, f in zip(given, rest)})
 
 
 def op8_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .textarrays import NOT_ALNUM, _powers, blocks, rows_of, runs, words
+from .textarrays import NOT_ALNUM, _powers, blocks, rows_of, runs, tidy, words
 
 SEED = 5
 THRESHOLD = 0.5
@@ -240,7 +240,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, threshold: float, seed: int
             arrays = [*batch.columns, pa.array(coverage, pa.float64()), pa.array(leaked, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*given, "coverage", "leaked_items"])
 
-    return docs.toDF(*given).mapInArrow(run, schema).toDF(*docs.columns, "coverage", "leaked_items")
+    return docs.toDF(*given).mapInArrow(tidy(run), schema).toDF(*docs.columns, "coverage", "leaked_items")
 
 
 def _seeds_of(rows: DataFrame, kind: str, seed: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _seeds_of(rows: DataFrame, kind: str, seed: int) -> DataFrame:
                 keys = [k for (k, _), s in zip(block, own) for _ in range(len(s))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, schema[0].type), pa.array(np.concatenate(own).view(np.int64))], schema=schema)
 
-    return rows.mapInArrow(run, f"k {kind}, seed long")
+    return rows.mapInArrow(tidy(run), f"k {kind}, seed long")
 
 
 def _by_join(docs: DataFrame, items: DataFrame, threshold: float, seed: int, at: int) -> DataFrame:
@@ -279,7 +279,7 @@ def _by_join(docs: DataFrame, items: DataFrame, threshold: float, seed: int, at:
             covered = [max((c for _, c in coverages([t], Items([(i, s)], seed))[0]), default=0.0) for _, i, s, t in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(covered, pa.float64())], names=["k", "item", "c"])
 
-    judged = met.mapInArrow(run, "k string, item long, c double").groupBy("k").agg(
+    judged = met.mapInArrow(tidy(run), "k string, item long, c double").groupBy("k").agg(
         F.max("c").alias("coverage"), F.sort_array(F.collect_set(F.when(F.col("c") >= threshold, F.col("item")))).alias("leaked_items"))
     none = F.array().cast("array<bigint>")
     out = keyed.join(judged, "k", "left").select(*given, F.coalesce("coverage", F.lit(0.0)), F.coalesce("leaked_items", none))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textarrays import blocks
+from .textarrays import blocks, tidy
 
 ORDER = 3
 #: About this many labelled rows of each language are learnt from, chosen by a hash of the id.
@@ -63,7 +63,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         [pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], schema=schema
                     )
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counted = docs.select("lang", "text").mapInArrow(tidy(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_c
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
             )
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

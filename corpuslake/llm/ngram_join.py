@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import cut, discard
-from .textarrays import blocks, release, rows_of, runs, words
+from .textarrays import blocks, release, rows_of, runs, settled, tidy, words
 
 WIDTH = 5
 #: A link: LINK_NUM / LINK_DEN or more of the union is shared.
@@ -156,10 +156,8 @@ def _scatter(docs: DataFrame, fragments: int, width: int, common: int) -> DataFr
                     release()
         if seen:
             yield _send(list(held.items()), seen, fragments, common, turn)
-        held = {}
-        release()
 
-    return docs.mapInArrow(run, _SENT)
+    return docs.mapInArrow(tidy(run), _SENT)
 
 
 def _pairs(node: np.ndarray, first: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -264,7 +262,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) ->
                 arrays = [[node_key(s) for s in sets], [len(s) for s in sets], [s.view(np.int64) for s in sets]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)
 
-    made = picked.mapInArrow(run, "node binary, n long, tokens array<bigint>")
+    made = picked.mapInArrow(tidy(run), "node binary, n long, tokens array<bigint>")
     return made.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
@@ -368,7 +366,7 @@ def _within_groups(sets: DataFrame, edges: DataFrame) -> DataFrame:
     right = sized.select("node", "label", "family", F.lit(1).alias("side"), F.explode(every).alias("i"), (F.col("draw") % F.col("nb")).cast("int").alias("j"))
     keyed = lambda df: df.withColumn("h", F.reverse(F.hex("node")))
     cells = keyed(left.unionByName(right)).join(keyed(sets.select("node", "n", "tokens")).drop("node"), "h").drop("h")
-    found = cells.groupBy("family", "i", "j").applyInArrow(_compare_cell, "a binary, b binary")
+    found = cells.groupBy("family", "i", "j").applyInArrow(lambda t: settled(_compare_cell(t)), "a binary, b binary")
     return cut(edges.unionByName(found), "edges", edges, members)
 
 
@@ -414,7 +412,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, common: int = COMMON, i
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
     sent = _scatter(docs, fragments, width, common)
-    mixed = cut(sent.groupBy("part").applyInArrow(lambda t: _count_fragment_table(t, common), _MIXED), "counted")
+    mixed = cut(sent.groupBy("part").applyInArrow(lambda t: settled(_count_fragment_table(t, common)), _MIXED), "counted")
     rows = mixed.where("kind = 2").select(F.col("v").alias("doc_id"), F.col("na").alias("tag"), F.col("a").alias("node"))
     hot = mixed.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.first("na").alias("n"), F.sum("v").alias("hot"))
     pairs = mixed.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("v").alias("o"))

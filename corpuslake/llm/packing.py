@@ -27,19 +27,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import fresh_path, write_table
-from .textarrays import blocks, release
+from .textarrays import blocks, tidy
 
 WINDOW = 1024
 #: The tokenizer's file, and the same vocabulary as merge ranks, from which words are encoded several times as fast.
 TOKENIZER_FILE, RANKS_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Distinct words kept per worker; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 #: Tokens of a batch: sequences of one length, as many as fit.
 BATCH_TOKENS = 65_536
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
+def added_tokens(path: str | None = None) -> list[str]:
+    """Strings of the added tokens of the tokenizer's file."""
+    import public_tokenizers
+
+    with open(path or public_tokenizers.path(TOKENIZER_FILE), encoding="utf-8") as file:
+        return [t["content"] for t in json.load(file)["added_tokens"]]
+
+
 class CachedTokenizer:
     """The library's byte-level BPE, with each distinct space-delimited word encoded once.
 
@@ -49,7 +57,8 @@ class CachedTokenizer:
     the string of an added token goes to the library itself, unless ``ordinary``.
     """
 
-    def __init__(self, path: str | None = None, ranks_path: str | None = None, most: int = CACHE_WORDS, ordinary: bool = False):
+    def __init__(self, path: str | None = None, ranks_path: str | None = None, most: int = CACHE_WORDS, ordinary: bool = False,
+                 added: list[str] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -59,8 +68,7 @@ class CachedTokenizer:
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self._path, self._library = path or public_tokenizers.path(TOKENIZER_FILE), None
-        with open(self._path, encoding="utf-8") as file:
-            self._added = [] if ordinary else [t["content"] for t in json.load(file)["added_tokens"]]
+        self._added = [] if ordinary else added_tokens(path) if added is None else added
         self._most = most
         self._clear()
 
@@ -132,10 +140,12 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_pat
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the ids (little-endian 32-bit) if asked for."""
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
+    # The file is parsed once, here: in every task it would cost more memory than all else.
+    added = [] if ordinary else added_tokens(tokenizer_path)
     schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens")] + [("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer(tokenizer_path, ranks_path, ordinary=ordinary)
+        tokenizer = CachedTokenizer(tokenizer_path, ranks_path, ordinary=ordinary, added=added)
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for block in blocks(((i, t or "") for i, t in rows), lambda r: len(r[1]), 1_000_000):
@@ -149,11 +159,9 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = 0, tokenizer_pat
                         at += n
                 columns = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-        del tokenizer
-        release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    out = rows.mapInArrow(run, _SCHEMA)
+    out = rows.mapInArrow(tidy(run), _SCHEMA)
     return out if with_ids else out.drop("ids")
 
 

@@ -103,6 +103,22 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+def settled(result):
+    """``result``, once what the call that made it held has been given back."""
+    release()
+    return result
+
+
+def tidy(run):
+    """``run``, a worker's function of batches, followed by ``release`` once its frame, with all it held, is gone."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def rows_of(batch, step: int = 256) -> Iterator[tuple]:
     """Rows of an Arrow batch as tuples, made a few at a time."""
     for at in range(0, batch.num_rows, step):
