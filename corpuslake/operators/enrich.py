@@ -35,8 +35,9 @@ def _asked(classifier: Classifier, prompt: str) -> Callable[[str], "tuple[bool,
 
 
 def filter_chunks(chunks: DataFrame, classifier: Classifier | None, prompt: str | None, threshold: float = 0.5, enabled: bool = True) -> DataFrame:
-    """Chunks that the classifier keeps, asked with ``prompt``; each distinct hash is judged once.
+    """Chunks that the classifier keeps, asked with ``prompt``; each distinct text is judged once.
 
+    ``content_hash`` is no name for a text here: it reads case and white space alike, which a classifier need not.
     All pass if filtering is off, the prompt is blank, or there is no classifier."""
     if not enabled or classifier is None or not (prompt or "").strip():
         return chunks
@@ -45,17 +46,18 @@ def filter_chunks(chunks: DataFrame, classifier: Classifier | None, prompt: str
         judge = _asked(classifier, prompt)
         for frame in frames:
             rows = []
-            for key, text in zip(frame["content_hash"], frame["content"]):
+            for key, text in zip(frame["_key"], frame["content"]):
                 try:
                     relevant, confidence = judge(text)
                     rows.append((key, relevant is True and float(confidence or 0.0) >= threshold))
                 except Exception:  # fail open
                     rows.append((key, True))
-            yield type(frame)(rows, columns=["content_hash", "_keep"])
+            yield type(frame)(rows, columns=["_key", "_keep"])
 
-    each = chunks.groupBy("content_hash").agg(F.min("content").alias("content"))
-    judged = each.mapInPandas(run, "content_hash string, _keep boolean")
-    return chunks.join(judged.where("_keep").select("content_hash"), "content_hash", "left_semi")
+    named = chunks.withColumn("_key", F.coalesce(F.sha2("content", 256), F.lit("")))
+    each = named.groupBy("_key").agg(F.min("content").alias("content"))
+    judged = each.mapInPandas(run, "_key string, _keep boolean")
+    return named.join(judged.where("_keep").select("_key"), "_key", "left_semi").select(*chunks.columns)
 
 
 def mark_existing(chunks: DataFrame, entries: DataFrame, force: bool = False) -> DataFrame:

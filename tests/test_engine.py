@@ -186,6 +186,13 @@ def test_prompt_and_single_embeddings(spark):
     assert {r.content: r.embedding for r in enrich.embed(chunks, picky).collect()} == {"a": [1.0], "b": None, "c": [1.0]}
 
 
+def test_texts_of_one_hash_are_judged_each_by_itself(spark):
+    rows = [("h", "a  b"), ("h", "A b"), ("h", "a b"), ("h", "a  b"), ("h", None)]
+    chunks = spark.createDataFrame(rows, "content_hash string, content string")
+    kept = enrich.filter_chunks(chunks, lambda text: (len(text) == 4, 1.0), "even", 0.5)
+    assert kept.columns == chunks.columns and sorted(r.content or "" for r in kept.collect()) == ["", "a  b", "a  b"]
+
+
 def test_queue_of_paths_and_reload(spark, tmp_path, engine, corpus):
     queue = str(tmp_path / "queue")
     rows = [(str(corpus / "one.md"), None), (str(corpus / "gone.md"), None), ("/sent/note.txt", "sent text"), (str(corpus / "one.md"), None)]
