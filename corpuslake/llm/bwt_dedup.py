@@ -6,11 +6,13 @@ move every byte LENGTH times; instead:
 
 1. Every window of LENGTH bytes has one anchor, the least hashed ANCHOR-gram in
    it, so equal windows have equal anchors. Windows in a row with one anchor are
-   a segment (some 60 bytes long). Segments travel as two numbers, dealt by
-   ranges of the anchor's hash; each range finds, for every segment, whether a
-   smaller document has the very same segment (then all its windows repeat), and
-   which anchors occur with different segments in different documents.
-2. Only segments of such anchors travel as bytes. What a map task sends to a
+   a segment (some 60 bytes long). Segments travel as numbers, dealt by ranges of
+   the anchor's hash; each range finds, for every segment, whether a smaller
+   document has the very same segment (then all its windows repeat), and which
+   segments could share a window with a different one of another document: a
+   window reaches LEFT bytes before its anchor or RIGHT bytes beyond it, so such
+   segments agree in the anchor and what lies on one of these sides.
+2. Only those segments travel as bytes. What a map task sends to a
    range is a shard; the rotations of its strings, sorted to LENGTH bytes, give
    its Burrows-Wheeler transform. A range's task merges all its shards by iterative
    interleave refinement: from the interleaving that is right for the first k
@@ -41,18 +43,25 @@ from .storage import cut
 from .textarrays import _BYTE, _powers, blocks, mix, release, rows_of, settled, tidy
 
 LENGTH, ANCHOR = 50, 26
+#: A window has LEFT bytes before its anchor, or else at least RIGHT bytes after it.
+LEFT = (LENGTH - ANCHOR) // 2
+RIGHT = LENGTH - ANCHOR - LEFT + 1
 #: Segments, or bytes of segments, that a map task holds before it sends them.
 HELD_SEGMENTS, HELD_BYTES = 500_000, 3_000_000
 #: Bytes of text for each range of anchors.
 RANGE_BYTES = 10_000_000
 #: Bytes of text that are cut into segments at once.
 AT_ONCE = 700_000
+#: Bytes of strings that are sorted as one shard at least; what smaller map tasks sent is joined.
+SHARD_BYTES = 32_000
 _U = np.uint64
 _LAST = 2**63 - 1
 
 
 class Segments:
-    """Segments of a list of texts (bytes), as arrays: text number, first window, windows, anchor, name."""
+    """Segments of a list of texts (bytes), as arrays: text number, first window, windows, anchor, name, left, right.
+
+    ``left`` and ``right`` name the anchor with the bytes before or after it; 0: the segment does not reach so far."""
 
     def __init__(self, texts: list[bytes]):
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -63,6 +72,7 @@ class Segments:
         if n < LENGTH:
             self.text = self.first = self.windows = np.zeros(0, np.int64)
             self.anchor = self.name = np.zeros(0, _U)
+            self.left = self.right = np.zeros(0, np.uint32)
             return
         up, down = _powers(n + 1)
         with np.errstate(over="ignore"):
@@ -87,7 +97,12 @@ class Segments:
             # Mixed again: least hashes all lie low, and ranges of them would be far from even.
             self.anchor = mix(gram[at[new]] ^ _U(0x5851F42D4C957F2D))
             own = (total[b + LENGTH] - total[a]) * down[a]
-            self.name = mix(own + self.windows.astype(_U) * _U(0x9E3779B97F4A7C15) + mix((at[new] - a + 1).astype(_U)))
+            p = at[new]
+            self.name = mix(own + self.windows.astype(_U) * _U(0x9E3779B97F4A7C15) + mix((p - a + 1).astype(_U)))
+            end = p + ANCHOR
+            side = lambda x, y, there: np.where(there, (mix((total[y] - total[x]) * down[x]) >> _U(32)) | _U(1), _U(0)).astype(np.uint32)
+            self.left = side(np.maximum(p - LEFT, 0), end, p - LEFT >= a)
+            self.right = side(p, np.minimum(end + RIGHT, n), end + RIGHT <= b + LENGTH)
 
 
 def _range_of(anchor: np.ndarray, ranges: int) -> np.ndarray:
@@ -100,20 +115,20 @@ def _batch(names: list[str], types: list, columns) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- segments by number
 
-_SENT = "part int, docs binary, versions binary, counts binary, anchors binary, names binary"
+_SENT = "part int, docs binary, versions binary, counts binary, anchors binary, names binary, lefts binary, rights binary"
 
 
 def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
-    """Packed (anchor, name) of all segments of ``docs`` (doc_id, version, text), by range."""
+    """Packed (anchor, name, left, right) of all segments of ``docs`` (doc_id, version, text), by range."""
     names = [x.split()[0] for x in _SENT.split(", ")]
-    types = [pa.int32(), *[pa.binary()] * 5]
+    types = [pa.int32(), *[pa.binary()] * 7]
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
-        doc, version, count, anchor, name = (np.concatenate([h[i] for h in held]) for i in range(5))
+        doc, version, count, anchor, name, left, right = (np.concatenate([h[i] for h in held]) for i in range(7))
         owner = np.repeat(np.arange(len(doc)), count)
         part = _range_of(anchor, ranges)
         order = np.argsort(part.astype(np.uint16) if ranges < 65536 else part, kind="stable")
-        owner, anchor, name, part = owner[order], anchor[order], name[order], part[order]
+        owner, anchor, name, left, right, part = owner[order], anchor[order], name[order], left[order], right[order], part[order]
         cell = part * len(doc) + owner
         first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         who, n = owner[first], np.diff(np.append(first, len(cell)))
@@ -127,7 +142,7 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
             [version[who[c]].tobytes() for c in cells],
             [n[c].astype("<u4").tobytes() for c in cells],
             [low[s].tobytes() for s in segments],
-            [name[s].tobytes() for s in segments],
+            *[[x[s].tobytes() for s in segments] for x in (name, left, right)],
         ))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +152,7 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
                 s = Segments([r[2].encode() for r in block])
                 ids = np.array([_LAST if r[0] is None else r[0] for r in block], np.int64)
                 count = np.bincount(s.text, minlength=len(block))
-                held.append((ids, np.array([r[1] for r in block], np.int64), count, s.anchor, s.name))
+                held.append((ids, np.array([r[1] for r in block], np.int64), count, s.anchor, s.name, s.left, s.right))
                 total += len(s.name)
                 if total >= HELD_SEGMENTS:
                     yield pack(held)
@@ -150,7 +165,7 @@ def _send_names(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 _DEALT = "bucket int, part int, docs binary, versions binary, sizes binary, data binary"
-_MARKS = "doc_id long, version long, marks array<struct<part:int,data:binary>>"
+_MARKS = "doc_id long, version long, parts binary, sizes binary, data binary"
 
 
 def _slices(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -175,7 +190,7 @@ def _deal(part: int, doc: np.ndarray, version: np.ndarray, size: np.ndarray, dat
 
 
 def _gather(rows: pa.Table) -> pa.Table:
-    """All that ranges found about a bucket's documents, one row a document."""
+    """All that ranges found about a bucket's documents, one row a document: its ranges, the bytes of each, the bytes."""
     release()
     join = lambda name, ty: np.frombuffer(b"".join(rows.column(name).to_pylist()), ty)
     doc, version, size, data = join("docs", "<i8"), join("versions", "<i8"), join("sizes", "<u4").astype(np.int64), join("data", np.uint8)
@@ -187,20 +202,23 @@ def _gather(rows: pa.Table) -> pa.Table:
     data = data[_slices((np.cumsum(size) - size)[order], size[order])]
     doc, version, part, size = doc[order], version[order], part[order], size[order]
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])))) if len(doc) else np.zeros(0, np.int64)
-    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    struct = pa.StructArray.from_arrays([pa.array(part, pa.int32()), found], names=["part", "data"])
-    marks = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), struct)
-    return pa.Table.from_arrays([pa.array(doc[new]), pa.array(version[new]), marks], names=["doc_id", "version", "marks"])
+    cells = np.append(new, len(doc)).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(size)))
+
+    def packed(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+    found = [packed(4 * cells, part.astype("<u4")), packed(4 * cells, size.astype("<u4")), packed(ends[cells], data)]
+    return pa.Table.from_arrays([pa.array(doc[new]), pa.array(version[new]), *found], names=["doc_id", "version", "parts", "sizes", "data"])
 
 
 def _judge_names(rows: pa.Table, buckets: int) -> pa.Table:
     """Per document of a range, a byte for each of its segments there, in order:
-    1 if a smaller document has the segment, 2 if its anchor must be compared, else 0."""
+    1 if a smaller document has the segment, 2 if its bytes must be compared, else 0."""
     release()
     join = lambda name, ty: np.frombuffer(b"".join(rows.column(name).to_pylist()), ty)
     doc, version, count = join("docs", "<i8"), join("versions", "<i8"), join("counts", "<u4").astype(np.int64)
-    anchor, name = join("anchors", "<u4"), join("names", _U)
+    anchor, name, sides = join("anchors", "<u4"), join("names", _U), (join("lefts", "<u4"), join("rights", "<u4"))
     rank = np.unique(doc, return_inverse=True)[1].astype(np.int32)
     owner = np.repeat(np.arange(len(doc), dtype=np.int32), count)
     own_rank = rank[owner]
@@ -219,7 +237,18 @@ def _judge_names(rows: pa.Table, buckets: int) -> pa.Table:
     repeated = r > np.repeat(np.minimum.reduceat(r, at_name), np.diff(np.append(at_name, len(r))))
     kinds = np.add.reduceat(new_name.astype(np.int32), at_anchor)
     mixed = (kinds > 1) & (np.minimum.reduceat(r, at_anchor) < np.maximum.reduceat(r, at_anchor))
-    compare = np.repeat(mixed, np.diff(np.append(at_anchor, len(r)))) & ~repeated
+    # Of equal segments the first stands for all; it is compared if another document's first one agrees on a side.
+    firsts = np.flatnonzero(np.repeat(mixed, np.diff(np.append(at_anchor, len(r)))) & ~repeated)
+    compare = np.zeros(len(r), bool)
+    for side in sides:
+        near = side[order[firsts]]
+        own = firsts[near > 0]
+        key = (a[own].astype(_U) << _U(32)) | near[near > 0]
+        own, key = own[by := np.argsort(key)], key[by]
+        if len(own):
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            met = np.minimum.reduceat(r[own], start) < np.maximum.reduceat(r[own], start)
+            compare[own[np.repeat(met, np.diff(np.append(start, len(own))))]] = True
     status = np.zeros(len(order), np.uint8)
     status[order] = repeated + 2 * compare
     end = np.cumsum(count)
@@ -289,21 +318,20 @@ FINER = 2
 def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
     """One shard per map task and (finer) range, of the strings of the segments that must be compared.
 
-    ``met``: doc_id, version, text, marks (array of part, status)."""
+    ``met``: doc_id, version, text, marks (parts, sizes, data: statuses)."""
     names = [x.split()[0] for x in _SHARDS.split(", ")]
     types = [pa.int32(), *[pa.binary()] * 5]
 
     def pack(held: list[tuple]) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in names]
-        by: dict[int, list] = {}
-        for part, *rest in held:
-            by.setdefault(part, []).append(rest)
-        for part, own in by.items():
-            doc, version, first, length = (np.concatenate([o[i] for o in own]) for i in range(4))
-            strings = np.concatenate([o[4] for o in own])
-            for c, v in zip(columns, (part, doc.tobytes(), version.tobytes(), first.astype("<i8").tobytes(), length.astype("<u4").tobytes(), strings.tobytes())):
-                c.append(v)
-        return _batch(names, types, columns)
+        part, doc, version, first, length, strings = (np.concatenate([h[i] for h in held]) for i in range(6))
+        order = np.argsort(part, kind="stable")
+        strings = strings[_slices((np.cumsum(length) - length)[order], length[order])]
+        part, doc, version, first, length = part[order], doc[order], version[order], first[order], length[order]
+        full, at = np.unique(part, return_index=True)
+        at, ends = np.append(at, len(part)), np.concatenate(([0], np.cumsum(length)))
+        cut_up = lambda x, ty: [x[a:b].astype(ty).tobytes() for a, b in zip(at[:-1], at[1:])]
+        data = [strings[ends[a] : ends[b]].tobytes() for a, b in zip(at[:-1], at[1:])]
+        return _batch(names, types, (full, cut_up(doc, "<i8"), cut_up(version, "<i8"), cut_up(first, "<i8"), cut_up(length, "<u4"), data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -314,17 +342,11 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
                 pick = np.flatnonzero(status == 2)
                 if not len(pick):
                     continue
-                pick = pick[np.argsort(part[pick], kind="stable")]
                 length = s.windows[pick] + LENGTH - 1
-                end = np.cumsum(length)
-                data = s.data[np.repeat(s.first[pick] - end + length, length) + np.arange(end[-1])]
+                data = s.data[_slices(s.first[pick], length)]
                 ids = np.array([_LAST if r[0] is None else r[0] for r in block], np.int64)[s.text[pick]]
                 versions = np.array([r[1] for r in block], np.int64)[s.text[pick]]
-                first = s.first[pick] - s.starts[s.text[pick]]
-                full = np.unique(part[pick])
-                cuts = np.append(np.searchsorted(part[pick], full), len(pick))
-                for f, a, b in zip(full.tolist(), cuts[:-1], cuts[1:]):
-                    held.append((f, ids[a:b], versions[a:b], first[a:b], length[a:b], data[end[a] - length[a] : end[b - 1]]))
+                held.append((part[pick], ids, versions, s.first[pick] - s.starts[s.text[pick]], length, data))
                 total += len(data)
                 if total >= HELD_BYTES:
                     yield pack(held)
@@ -338,15 +360,18 @@ def _send_shards(met: DataFrame, ranges: int) -> DataFrame:
 
 def _statuses(s: Segments, marks: list, ranges: int) -> np.ndarray:
     """Status of every segment, from the documents' marks by range."""
-    part = _range_of(s.anchor, ranges)
-    status = np.zeros(len(part), np.uint8)
-    order = np.lexsort((np.arange(len(part)), part, s.text))
-    cell = s.text[order] * ranges + part[order]
-    for text, own in enumerate(marks):
-        for mark in own or ():
-            a = np.searchsorted(cell, text * ranges + mark["part"])
-            got = np.frombuffer(mark["data"], np.uint8)
-            status[order[a : a + len(got)]] = got
+    status = np.zeros(len(s.text), np.uint8)
+    told = [(i, m) for i, m in enumerate(marks) if m]
+    if not told or not len(status):
+        return status
+    join = lambda name, ty: np.frombuffer(b"".join(m[name] for _, m in told), ty)
+    parts, sizes = join("parts", "<u4").astype(np.int64), join("sizes", "<u4").astype(np.int64)
+    owner = np.repeat([i for i, _ in told], [len(m["parts"]) // 4 for _, m in told])
+    # In order of text, range and place: one number for all three.
+    bits = len(status).bit_length()
+    cell = np.sort((s.text * ranges + _range_of(s.anchor, ranges)) << bits | np.arange(len(status)))
+    at = np.searchsorted(cell, (owner * ranges + parts) << bits)
+    status[cell[_slices(at, sizes)] & ((1 << bits) - 1)] = join("data", np.uint8)
     return status
 
 
@@ -354,11 +379,11 @@ def _merge_range(rows: pa.Table, buckets: int) -> pa.Table:
     """Starts of windows that repeat one of a smaller document, by document."""
     release()
     read = lambda name, ty: [np.frombuffer(x, ty) for x in rows.column(name).to_pylist()]
-    strings, lengths = read("strings", np.uint8), read("lengths", "<u4")
-    lengths = [n.astype(np.int64) for n in lengths]
+    pairs = blocks(zip(read("strings", np.uint8), read("lengths", "<u4")), lambda x: len(x[0]), SHARD_BYTES)
+    strings, lengths = zip(*[(np.concatenate([t for t, _ in own]), np.concatenate([n for _, n in own]).astype(np.int64)) for own in pairs])
     orders = [shard_order(t, n) for t, n in zip(strings, lengths)]
     transforms = [pairs_before(t, n)[1][o] for t, n, o in zip(strings, lengths, orders)]
-    del strings
+    del strings, pairs
     doc, version, first = (np.concatenate(read(n, "<i8")) for n in ("docs", "versions", "firsts"))
     shard, block = merge_shards(transforms)
     size = np.array([len(o) for o in orders])
@@ -414,10 +439,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """(doc_id, version, what) of what ``find`` found in each range, one row a document."""
         found = sent.groupBy("part").applyInArrow(lambda t: settled(find(t, ranges)), _DEALT)
         told = found.groupBy("bucket").applyInArrow(lambda t: settled(_gather(t)), _MARKS)
-        return cut(told.withColumnRenamed("marks", what), what)
+        return cut(told.select(*name, F.struct("parts", "sizes", "data").alias(what)), what)
 
     marks = gathered(_send_names(slim, ranges), _judge_names, "marks")
-    open_marks = marks.where(F.exists("marks", lambda m: F.instr(F.hex(m["data"]), "02") > 0))
+    open_marks = marks.where(F.instr(F.hex("marks.data"), "02") > 0)
     met = slim.join(open_marks, name).select("doc_id", "version", "text", "marks")
     starts = gathered(_send_shards(met, ranges), _merge_range, "starts")
     known = marks.join(starts, name, "full_outer").select(*name, F.struct("marks", "starts").alias("_known"))
@@ -442,9 +467,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     cuts = np.searchsorted(s.text, np.arange(len(some) + 1))
                     for j, i in enumerate(some):
                         own = np.arange(cuts[j], cuts[j + 1])[flag[cuts[j] : cuts[j + 1]]]
-                        more = [np.frombuffer(x["data"], "<u4").astype(np.int64) for x in block[i][1]["starts"] or ()]
-                        first = np.concatenate([s.first[own] - s.starts[j], *more])
-                        windows = np.concatenate([s.windows[own], *[np.ones(len(m), np.int64) for m in more]])
+                        more = np.frombuffer((block[i][1]["starts"] or {"data": b""})["data"], "<u4").astype(np.int64)
+                        first = np.concatenate([s.first[own] - s.starts[j], more])
+                        windows = np.concatenate([s.windows[own], np.ones(len(more), np.int64)])
                         hide[i] = covered(first.astype(np.int64), windows.astype(np.int64), len(texts[i]))
                 for i, raw in enumerate(texts):
                     size.append(len(raw))

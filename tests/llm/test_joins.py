@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,25 @@ def test_merge_is_a_sort(spark):
         found.append(bytes(np.roll(ring, -(place - end[k] + lengths[k]))[:50]))
     assert found == sorted(found)
     assert [a != b for a, b in zip(found, found[1:])] == [a != b for a, b in zip(block, block[1:])]
+
+
+def test_segments_that_share_an_anchor_only_are_not_compared():
+    """One of 50 bytes is repeated in another setting; a shared anchor-sized string alone asks for no comparison."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    noise = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    passage, gram = noise(bwt_dedup.LENGTH), noise(bwt_dedup.ANCHOR + bwt_dedup.LEFT - 1)
+
+    def marked(a, b):
+        s = bwt_dedup.Segments([a, b])
+        count = np.bincount(s.text, minlength=2).astype("<u4")
+        low = (s.anchor & np.uint64(0xFFFFFFFF)).astype("<u4") ^ (s.anchor >> np.uint64(32)).astype("<u4")
+        given = {"docs": np.array([1, 2], "<i8"), "versions": np.array([1, 2], "<i8"), "counts": count, "anchors": low, "names": s.name, "lefts": s.left, "rights": s.right}
+        table = pa.table({"part": pa.array([0], pa.int32())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in given.items()})
+        got = bwt_dedup._judge_names(table, 1)
+        return [np.frombuffer(x, np.uint8).max() for x in got.column("data").to_pylist() if x]
+
+    assert marked(noise(60) + passage + noise(60), noise(70) + passage + noise(50)) == [2]
+    for _ in range(20):
+        assert marked(noise(60) + gram + noise(60), noise(70) + gram + noise(50)) == []
