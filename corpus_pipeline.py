@@ -3,7 +3,8 @@
 Each stage reads what the one before it wrote. The first four return the columns
 of ``documents``; the last returns packed pieces. Null ids, null or empty texts,
 very long texts, ties and repeated rows pass through as each stage says; an empty
-table passes all stages as one; extra columns, whatever their names, go.
+table passes all stages as one; extra columns, whatever their names, go. Stages begin
+with a heap that holds nothing of the stage before (``storage.trim``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from corpuslake.llm.decontam import find_leaks
 from corpuslake.llm.langid import predict, train
 from corpuslake.llm.ngram_join import link_components
 from corpuslake.llm.packing import pack
-from corpuslake.llm.storage import cut
+from corpuslake.llm.storage import cut, trim
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document is rejected when its text has no letter or its best language is less likely than this.
@@ -27,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter (null and empty texts too), or no language likelier than the rest.
 
     Repeated rows are judged alike; with no labelled row nothing is known, and all go. Texts of any length are scored whole."""
+    trim(spark)
     trees = train(docs.select("doc_id", "lang", "text"))
     return predict(docs, trees).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
@@ -40,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row is told from others by its id and a hash of its text, which any scan gives alike, so no number has to hold
     from job to job and no copy of the texts is kept. Equal rows become one in their own task, before the shuffle."""
+    trim(spark)
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     docs = docs.select(*COLUMNS).withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "tag": F.xxhash64("text")})
     found = link_components(docs, id_col="d", tag_col="tag")
@@ -57,6 +60,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A null id is larger than every number; rows of one id are not smaller than each other, so repeated rows all stay
     as they are. Null texts stay null; a text may end up empty; texts of any length are read whole."""
+    trim(spark)
     out = remove_repeats(docs.select(*COLUMNS), as_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     size = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
@@ -68,12 +72,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts are clean, repeated rows are judged alike, texts of any length are read whole; an empty
     benchmark drops nothing."""
+    trim(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_leaks(docs.select(*COLUMNS), benchmark).where("not contaminated").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left: null and empty texts as their end id, repeated rows each by itself, texts of any length whole."""
+    trim(spark)
     return pack(docs)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,9 @@ _WHILE_WRITING = {
 }
 #: Settings are the session's, so threads write in turn.
 _ONE_WRITER = threading.RLock()
+#: Seconds between two calls that have the executors give heap back, and when the last was.
+TRIM_EVERY = 10
+_TRIMMED = {"at": -1e9}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +47,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpuslake/{name}-{uuid.uuid4().hex}"
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """A full collection in the JVM of every executor: one short task for each core, which idle executors get evenly."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
+def trim(spark: SparkSession) -> None:
+    """Have executors give back heap that is no longer in use, at most every TRIM_EVERY seconds.
+
+    An executor's heap grows to its limit though little of it is alive, and never shrinks by itself; in its container
+    that takes the room of the Python workers. After a full collection the JVM keeps a few times what is alive. In a
+    local session the executor is the driver, and nobody is short of room."""
+    if spark.sparkContext.master.split("[")[0] != "local" and time.monotonic() - _TRIMMED["at"] >= TRIM_EVERY:
+        collect_garbage(spark)
+        _TRIMMED["at"] = time.monotonic()
+
+
 def write_table(df: DataFrame, path: str, *by: str) -> None:
     """Write ``df`` to ``path`` as Parquet, in folders ``by`` columns; the shuffle files that led to it go."""
     spark = df.sparkSession
@@ -70,6 +91,7 @@ def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     discard(*spent)
+    trim(spark)
     return table
 
 

@@ -2,12 +2,14 @@
 
 import os
 import random
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import __spark_entry__
 import corpus_pipeline as P
+from corpuslake.llm import storage
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +94,19 @@ def test_matches_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     row = lambda names, v: tuple("null" if v[names.index(c)] is None else repr(v[names.index(c)]) for c in sorted(names))
     assert sorted(row(got.columns, tuple(r)) for r in got.collect()) == sorted(row(columns, r) for r in want.fetchall())
+
+
+def test_executors_are_told_to_collect_garbage(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    storage.collect_garbage(spark)
+    assert full() > before
+    told = []
+    monkeypatch.setattr(storage, "collect_garbage", told.append)
+    storage.trim(spark)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="local-cluster[3,2,3000]"))
+    monkeypatch.setitem(storage._TRIMMED, "at", -1e9)
+    storage.trim(cluster)
+    storage.trim(cluster)
+    assert told == [cluster]
